@@ -6,6 +6,8 @@ counting is done on Arrow batches with numpy.  Everything around it stays in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,37 +34,30 @@ def window_entropy_of(data: bytes) -> float:
     return max(entropy_of(data[s : s + WINDOW]) for s in starts)
 
 
-@F.pandas_udf("double")
-def _entropy(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else entropy_of(b)).astype("float64")
-
+def _each(f: Callable[[bytes], float], c: Column) -> Column:
+    """Apply ``f`` to every value of an Arrow batch; null stays null.  The UDF is made on use, as workers import this module too."""
 
-@F.pandas_udf("double")
-def _window(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else window_entropy_of(b)).astype("float64")
+    def batch(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else f(v)).astype("float64")
 
+    return F.pandas_udf(batch, "double")(c)
 
-@F.pandas_udf("double")
-def _literal_mean(lists: pd.Series) -> pd.Series:
-    def mean(xs: np.ndarray | None) -> float | None:
-        if xs is None:
-            return None
-        return float(np.mean([entropy_of((x or "").encode()) for x in xs])) if len(xs) else 0.0
 
-    return lists.map(mean).astype("float64")
+def _literal_mean(literals: np.ndarray) -> float:
+    return float(np.mean([entropy_of((x or "").encode()) for x in literals])) if len(literals) else 0.0
 
 
 def byte_entropy(data: Column) -> Column:
-    return _entropy(data)
+    return _each(entropy_of, data)
 
 
 def max_window_entropy(data: Column) -> Column:
-    return _window(data)
+    return _each(window_entropy_of, data)
 
 
 def literal_entropy(literals: Column) -> Column:
     """Mean of the entropies of the literals; 0 for none, a null literal counts as empty."""
-    return _literal_mean(literals)
+    return _each(_literal_mean, literals)
 
 
 def entropy_class(score: Column) -> Column:
@@ -110,4 +105,4 @@ def utf8_prefix(data: Column, limit: int) -> Column:
     for k in range(4):
         if limit - k > 0:
             whole = F.coalesce(whole, F.when(F.is_valid_utf8(cut(k).cast("string")), cut(k)))
-    return F.decode(F.coalesce(whole, F.lit(b"")), F.lit("UTF-8"))
+    return F.decode(F.coalesce(whole, F.lit(b"")), "UTF-8")

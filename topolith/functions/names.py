@@ -47,9 +47,11 @@ def display_text(name: str) -> str:
     return name
 
 
-@F.pandas_udf("string")
-def _display(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: None if n is None else display_text(n))
+def _display(c: Column) -> Column:
+    def batch(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: None if n is None else display_text(n))
+
+    return F.pandas_udf(batch, "string")(c)
 
 
 def display_name(c: Column) -> Column:

@@ -1,4 +1,8 @@
 """Every query by name, with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import feature_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "feature_queries"]
