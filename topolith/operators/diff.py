@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scoring
+from ..workspace import materialize
 
 MATCH_THRESHOLD, HIGH_RISK, ADDED_RISK = 0.6, 10, 5
 FEATURES = (*scoring.COUNTS, *scoring.FLAGS, *scoring.MAPS, *scoring.LISTS, "entropy_score", "obfuscation")
@@ -83,9 +84,9 @@ def diff(old: DataFrame, new: DataFrame, threshold: float = MATCH_THRESHOLD) ->
     renamed whatever its fingerprints; added and removed are what found no partner.  Risk is
     counted for changed pairs and for added functions (5 and what they bring).
     """
-    left, right = unmatched(old, new), unmatched(new, old)
-    fuzzy = bucket_candidates(left, right, threshold)
-    renames = assign(fuzzy).select(F.col("old_function_name").alias("ro"), F.col("new_function_name").alias("rn"))
+    left, right = materialize(unmatched(old, new), "only-old"), materialize(unmatched(new, old), "only-new")
+    fuzzy = materialize(bucket_candidates(left, right, threshold), "bucket-pairs")
+    renames = materialize(assign(fuzzy), "renames").select(F.col("old_function_name").alias("ro"), F.col("new_function_name").alias("rn"))
     by_structure = fuzzy.join(renames, (F.col("old_function_name") == F.col("ro")) & (F.col("new_function_name") == F.col("rn"))).drop("ro", "rn").withColumn("by_name", F.lit(False))
     pairs = match_by_name(old, new).unionByName(by_structure)
     delta = scoring.risk_delta(scoring.side("old_features"), scoring.side("new_features"))

@@ -166,15 +166,13 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
     return f.select("func_id", "max_fan_in", F.round(features.flattening(F.col("max_fan_in"), F.col("n_blocks")), 6).alias("flattening"))
 
 
-# One row and step per line: the fold depends on what was kept before.
-@query("""WITH RECURSIVE lit AS (SELECT doc_id AS func_id, unnest(string_split(coalesce(text, ''), chr(10))) AS lit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ord FROM documents),
- cut AS (SELECT func_id, ord, CASE WHEN strlen(lit) <= 64 THEN lit ELSE (SELECT max_by(substr(lit, 1, k), k) FROM range(1, 65) r(k) WHERE strlen(substr(lit, 1, k)) <= 64) END AS lit FROM lit),
- fold(func_id, ord, used, kept, lits) AS (
-  SELECT func_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM (SELECT DISTINCT func_id FROM lit)
-  UNION ALL
-  SELECT c.func_id, c.ord, CASE WHEN f.used + strlen(c.lit) <= 512 THEN f.used + strlen(c.lit) ELSE f.used END, CASE WHEN f.used + strlen(c.lit) <= 512 THEN f.kept + 1 ELSE f.kept END,
-   CASE WHEN f.used + strlen(c.lit) <= 512 THEN md5(f.lits || c.lit) ELSE f.lits END FROM fold f JOIN cut c ON c.func_id = f.func_id AND c.ord = f.ord + 1)
- SELECT func_id, max_by(used, ord) AS used, max_by(kept, ord) AS kept, max_by(lits, ord) AS digest FROM fold GROUP BY func_id""")
+_FITS = "a.used + strlen(x.lit) <= 512"
+
+
+@query(f"""WITH lit AS (SELECT doc_id AS func_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: CASE WHEN strlen(l) <= 64 THEN l ELSE list_filter(list_transform(range(64, 12, -1), lambda k: substr(l, 1, k)), lambda s: strlen(s) <= 64)[1] END) AS lits FROM documents),
+ st AS (SELECT func_id, list_prepend({{'used': 0::BIGINT, 'kept': 0::BIGINT, 'digest': '', 'lit': ''}}, list_transform(lits, lambda l: {{'used': 0::BIGINT, 'kept': 0::BIGINT, 'digest': '', 'lit': l}})) AS s FROM lit),
+ f AS (SELECT func_id, list_reduce(s, lambda a, x: {{'used': CASE WHEN {_FITS} THEN a.used + strlen(x.lit) ELSE a.used END, 'kept': CASE WHEN {_FITS} THEN a.kept + 1 ELSE a.kept END, 'digest': CASE WHEN {_FITS} THEN md5(a.digest || x.lit) ELSE a.digest END, 'lit': ''}}) AS r FROM st)
+ SELECT func_id, r.used AS used, r.kept AS kept, r.digest AS digest FROM f""")
 def literal_budget(spark: SparkSession, d: str) -> DataFrame:
     kept = fx.literal_lists(spark, d).select("func_id", features.within_budget(F.col("literals"), 64, 512).alias("kept"))
     used = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
