@@ -54,7 +54,7 @@ def auto_ids(spark: SparkSession, d: str) -> DataFrame:
     made = store.with_ids(s.select("row_id", "id", "name", "topology_hash", "fuzzy_hash"), "row_id").select("row_id", F.col("id").alias("new_id"))
     j = made.join(s.select("row_id", F.col("id").alias("old_id")), "row_id")
     blank = F.coalesce("old_id", F.lit("")) == ""
-    return j.select("row_id", F.when(blank, F.substring("new_id", 1, 9)).otherwise(F.col("new_id")).alias("id"), F.length("new_id").alias("n"))
+    return j.select("row_id", F.when(blank, F.substring("new_id", 1, 9)).otherwise(F.col("new_id")).alias("id"), F.length("new_id").cast("long").alias("n"))
 
 
 @query("SELECT topology_hash, min(id) AS id FROM signatures WHERE topology_hash <> '' AND id IS NOT NULL GROUP BY topology_hash")
