@@ -81,7 +81,7 @@ def call_signature(kind: Column, mode: Column, target: Column, recv: Column, met
     """Name of a call for histograms.
 
     ``kind`` is Call, Go or Defer; go and defer know neither builtins nor reflection, so these
-    come out as dynamic there, as in the original.
+    come out as dynamic there.
     """
     call = kind == "Call"
     dynamic = F.concat(F.lit("dynamic:"), type_name(value_type))
