@@ -169,3 +169,25 @@ def test_workspace(spark):
     df = workspace.materialize(spark.range(3), "t")
     assert df.count() == 3
     assert workspace.scratch_dir(spark) == workspace.scratch_dir(spark)
+
+
+def test_diff_report_and_summary(spark):
+    cols = "function_name string, param_count int, return_count int, block_count int, instr_count int, loop_count int, branch_count int, has_go boolean, call_signatures map<string,int>"
+    missing = {c: "boolean" for c in ("has_defer", "has_recover", "has_panic", "has_select", "has_range")} | {"instr_counts": "map<string,int>", "binop_counts": "map<string,int>"}
+    missing |= {c: "array<string>" for c in ("param_types", "return_types", "string_literals")} | {"entropy_score": "double", "obfuscation": "struct<score:double>"}
+
+    def version(rows):
+        return diff.version(spark.createDataFrame(rows, cols).withColumns({c: F.lit(None).cast(t) for c, t in missing.items()}))
+
+    same, grown = ("p.Same", 1, 1, 4, 9, 0, 1, False, {"a.b": 1}), ("p.Grown", 1, 1, 4, 9, 0, 1, False, {"a.b": 1})
+    old = version([same, grown, ("p.Before", 0, 0, 9, 30, 2, 3, False, {"x.y": 2}), ("p.Gone", 2, 0, 1, 3, 0, 0, False, {}), (None, 0, 0, 1, 1, 0, 0, False, {})])
+    new = version([same, (*grown[:5], 1, 1, True, {"a.b": 1}), ("q.After", 0, 0, 9, 30, 2, 3, False, {"x.y": 2}), ("p.Fresh", 0, 3, 2, 5, 0, 0, False, {"n.d": 1})])
+    rows = {r["function"]: r for r in diff.diff(old, new).collect()}
+    assert {k: (r["status"], r["risk_score"]) for k, r in rows.items()} == {
+        "Same": ("preserved", 0), "Grown": ("modified", 25), "Before → After": ("renamed", 0), "Gone": ("removed", 0), "Fresh": ("added", 10),
+    }
+    assert rows["Before → After"]["fingerprint_match"] and rows["Grown"]["topology_delta"] == "Loops+1, AddedGoroutine"
+    s = diff.summary(diff.diff(old, new)).first()
+    assert (s["total_functions"], s["preserved"], s["modified"], s["added"], s["removed"], s["renamed_functions"], s["high_risk_changes"]) == (5, 1, 2, 1, 1, 1, 2)
+    assert (s["semantic_match_pct"], s["topology_matched_pct"]) == (20.0, 60.0)
+    assert diff.summary(diff.diff(old.limit(0), new.limit(0))).first()["semantic_match_pct"] == 0.0
