@@ -191,3 +191,19 @@ def test_diff_report_and_summary(spark):
     assert (s["total_functions"], s["preserved"], s["modified"], s["added"], s["removed"], s["renamed_functions"], s["high_risk_changes"]) == (5, 1, 2, 1, 1, 1, 2)
     assert (s["semantic_match_pct"], s["topology_matched_pct"]) == (20.0, 60.0)
     assert diff.summary(diff.diff(old.limit(0), new.limit(0))).first()["semantic_match_pct"] == 0.0
+
+
+def test_every_pair_of_a_bucket_is_scored(spark, tmp_path):
+    from topolith.plans import catalog
+
+    cols = "func_id long, param_count int, return_count int, block_count int, instr_count int, loop_count int, branch_count int, has_defer boolean, has_recover boolean, has_panic boolean, has_go boolean, has_select boolean, has_range boolean"
+    cols += ", call_signatures map<string,int>, instr_counts map<string,int>, binop_counts map<string,int>, param_types array<string>, return_types array<string>, string_literals array<string>, entropy_score double, obfuscation struct<score:double>"
+    row = lambda i, blocks, calls, types: (i, 1, 0, blocks, 9, 0, 1, *[False] * 6, calls, {}, {}, types, [], [], 1.0, None)
+    rows = [row(1, 4, {"a": 1}, ["int"]), row(2, 4, {"b": 1}, ["string"]), row(3, 5, {"a": 1}, ["int"]), row(4, 4, None, None), row(5, 64, {"a": 1}, ["int"])]
+    spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "topology.parquet"))
+    got = {tuple(r)[:2]: r[2] for r in catalog.QUERIES["map_similarity_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): 0.0, (1, 3): 1.0, (1, 4): 0.0, (2, 3): 0.0, (2, 4): 0.0, (3, 4): 0.0}
+    dice = {tuple(r)[:2]: r[2] for r in catalog.QUERIES["type_dice_pairs"](spark, str(tmp_path)).collect()}
+    assert dice == {(1, 2): 0.0, (1, 3): 1.0, (1, 4): 0.0, (2, 3): 0.0, (2, 4): 0.0, (3, 4): 0.0}
+    whole = [tuple(r) for r in catalog.QUERIES["topology_similarity_pairs"](spark, str(tmp_path)).collect()]
+    assert len(whole) == 6 and {p[:2]: p[2] for p in whole}[(1, 3)] > 0.95

@@ -76,6 +76,47 @@ def type_dice(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("params"))
 
 
+# ---------------------------------------------------------------- similarity of all pairs of a bucket
+
+_PAIRS = f"""{fx.FUNCTIONS_SQL}, b AS (SELECT *, {bucket_sql()} AS bucket FROM functions),
+ pairs AS (SELECT x AS a, y AS b FROM b x JOIN b y ON x.bucket = y.bucket AND x.func_id < y.func_id)"""
+
+
+def bucket_pairs(functions: DataFrame, columns: tuple[str, ...] = diff.FEATURES, blocks: int = 16) -> DataFrame:
+    """(a, b): structs of ``func_id`` and ``columns`` for every two functions of a bucket, the smaller id first.
+
+    One side is spread over ``blocks`` and the other repeated for each, so a full bucket is no single task.
+    """
+    f = scoring.side()
+    bucket = names.fuzzy_hash(f["block_count"], f["loop_count"], f["branch_count"], f["param_count"], f["return_count"])
+    rows = functions.select(bucket.alias("bucket"), F.struct("func_id", *columns).alias("a"))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("a.func_id"), F.lit(blocks)).cast("int"))
+    right = rows.withColumnRenamed("a", "b").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.join(right, ["bucket", "block"]).where("a.func_id < b.func_id").select("a", "b")
+
+
+@query(f"WITH {_PAIRS} SELECT a.func_id AS a, b.func_id AS b, round({similarity_sql('a.', 'b.')}, 6)::DOUBLE AS similarity FROM pairs")
+def topology_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    sim = scoring.topology_similarity(scoring.side("a"), scoring.side("b"))
+    return bucket_pairs(fx.functions(spark, d)).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("similarity"))
+
+
+@query(f"WITH {_PAIRS} SELECT a.func_id AS a, b.func_id AS b, round({ruzicka_sql('a.call_signatures', 'b.call_signatures')}, 6)::DOUBLE AS calls FROM pairs")
+def map_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    none = F.create_map().cast("map<string,int>")
+    sim = scoring.map_similarity(F.coalesce("a.call_signatures", none), F.coalesce("b.call_signatures", none))
+    pairs = bucket_pairs(fx.functions(spark, d), ("call_signatures",))
+    return pairs.select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("calls"))
+
+
+@query(f"WITH {_PAIRS} SELECT a.func_id AS a, b.func_id AS b, round({dice_sql('a.param_types', 'b.param_types')}, 6)::DOUBLE AS params FROM pairs")
+def type_dice_pairs(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    sim = scoring.type_dice(F.coalesce("a.param_types", none), F.coalesce("b.param_types", none))
+    pairs = bucket_pairs(fx.functions(spark, d), ("param_types",))
+    return pairs.select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("params"))
+
+
 # ---------------------------------------------------------------- scans
 
 _PROBES = f"""{fx.FUNCTIONS_SQL}, probes AS (SELECT func_id, function_name, substr(sha256({hash_sql()}), 1, 32) AS hash, {bucket_sql()} AS bucket, coalesce(entropy_score, 0) AS entropy,
