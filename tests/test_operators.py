@@ -207,3 +207,34 @@ def test_every_pair_of_a_bucket_is_scored(spark, tmp_path):
     assert dice == {(1, 2): 0.0, (1, 3): 1.0, (1, 4): 0.0, (2, 3): 0.0, (2, 4): 0.0, (3, 4): 0.0}
     whole = [tuple(r) for r in catalog.QUERIES["topology_similarity_pairs"](spark, str(tmp_path)).collect()]
     assert len(whole) == 6 and {p[:2]: p[2] for p in whole}[(1, 3)] > 0.95
+
+
+def test_feature_row_from_facts_feeds_hash_and_scan(spark):
+    from topolith.functions import scoring
+
+    f = spark.createDataFrame([(1, "p.F", ["a/b.T"], ["error"]), (2, "p.G", [], None), (3, "p.NoBlocks", [], [])], "func_id long, function_name string, param_types array<string>, return_types array<string>")
+    kinds = [
+        (0, "Defer", None, "defer:p.d"), (0, "Call", None, "builtin:recover"), (0, "Go", None, "go:dynamic:func()"), (0, "UnOp", "!", None), (0, "Jump", None, None),
+        (1, "Phi", None, None), (1, "IndexAddr", None, None), (1, "BinOp", "^", None), (1, "BinOp", "+", None), (1, "Call", None, "net.Dial"), (1, "If", None, None),
+        (2, "Select", None, None), (2, "Range", None, None), (2, "Panic", None, None),
+    ]
+    rows = [(1, b, k, *x) for k, (b, *x) in enumerate(kinds)] + [(2, 0, 0, "Call", None, "builtin:recover"), (2, 0, 1, "Return", None, None)]
+    i = spark.createDataFrame(rows, "func_id long, block long, pos long, kind string, op string, call_sig string")
+    o = spark.createDataFrame([(1, 6, 1, "index", 7), (1, 7, 1, "y", 1), (1, 8, 1, "y", 2), (1, 9, 0, "arg", 999), (1, 9, 1, "arg", 3)], "func_id long, pos long, slot int, slot_role string, const_int long")
+    e = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (1, 1, 2)], "func_id long, src long, dst long")
+    lits = spark.createDataFrame([(1, 0, "zz"), (1, 1, "HELLO world")], "func_id long, ord int, lit string")
+    out = features.feature_rows(f, i, o, e, lits)
+    got = {r["func_id"]: r.asDict(True) for r in out.collect()}
+    assert set(got) == {1, 2}
+    a, b = got[1], got[2]
+    assert [a[c] for c in ("param_count", "return_count", "block_count", "instr_count", "loop_count", "branch_count", "phi_count", "cyclomatic")] == [1, 1, 3, 14, 1, 1, 1, 2]
+    assert all(a["has_" + c] for c in ("defer", "recover", "panic", "go", "select", "range")) and not any(b["has_" + c] for c in ("defer", "recover", "panic", "go", "select", "range"))
+    assert a["unop_counts"] == {"!": 1} and a["binop_counts"] == {"^": 1, "+": 1} and a["instr_counts"]["*ssa.Call"] == 2 and b["binop_counts"] == {}
+    assert a["call_signatures"] == {"defer:p.d": 1, "builtin:recover": 1, "go:dynamic:func()": 1, "net.Dial": 1} and a["string_literals"] == ["HELLO world", "zz"]
+    p = a["obfuscation"]
+    assert (p["byte_array_payload_bytes"], p["indirect_call_ratio"], p["decoder_loop_likelihood"], p["flattening_score"]) == (2, 0.25, 0.5, 0.0)
+    assert round(p["const_pool_entropy"], 3) == 1.922  # bytes 1, 2, e7, 3, 3: the subscript is left out
+    assert b["entropy_profile"] == {"overall": 0.0, "string_literal_entropy": 0.0, "classification": "LOW"}
+    assert out.select(scoring.topology_hash(scoring.side())).distinct().count() == 2
+    hits = scan.scan_exact(scan.probes(out), scan.index_functions(out))
+    assert ("p.F", "SFW-IDX-000000000001") in {(r["function_name"], r["s_id"]) for r in hits.select("function_name", "s_id").collect()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entropy, names, scoring
 from ..operators import features
+from ..workspace import materialize
 from . import fixtures as fx
 from .registry import query
 
@@ -166,6 +167,15 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
     return f.select("func_id", "max_fan_in", F.round(features.flattening(F.col("max_fan_in"), F.col("n_blocks")), 6).alias("flattening"))
 
 
+@query()
+def feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Feature row and topology hash of every function, from all facts; a block is an instruction, as in ``cyclomatic``."""
+    i = materialize(fx.instrs(spark, d).withColumn("block", F.col("pos")), "instrs")
+    operands = i.select("func_id", "pos", F.lit(0).alias("slot"), F.lit("x").alias("slot_role"), "const_int")
+    rows = features.feature_rows(fx.fact_functions(spark, d), i, operands, materialize(fx.edges(spark, d), "edges"), fx.literals(spark, d))
+    return rows.withColumn("hash", scoring.topology_hash(scoring.side()))
+
+
 _FITS = "a.used + strlen(x.lit) <= 512"
 
 

@@ -88,6 +88,15 @@ EDGES_SQL = """edges AS (SELECT func_id, pos AS src, pos + 1 AS dst FROM (SELECT
  UNION ALL SELECT func_id, pos, 1 FROM instrs WHERE quantity > 40)"""
 
 
+def fact_functions(spark: SparkSession, d: str) -> DataFrame:
+    """(func_id, function_name, param_types, return_types): one row per order, up to three parameters and two results."""
+    o = F.col("o_orderkey")
+    types = F.array(*[F.lit(x) for x in ("int", "a/b.T", "string")])
+    return read(spark, d, "orders").select(
+        o.alias("func_id"), F.concat(F.lit("p.f"), o).alias("function_name"), F.slice(types, F.lit(1), (o % 4).cast("int")).alias("param_types"), F.slice(types, F.lit(1), (o % 3).cast("int")).alias("return_types")
+    ).dropDuplicates(["func_id"])
+
+
 def literals(spark: SparkSession, d: str) -> DataFrame:
     """(func_id, ord, lit): the lines of a document are the string literals of a function."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
