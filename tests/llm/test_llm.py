@@ -440,3 +440,12 @@ def test_truncation_of_an_empty_table(spark):
 def test_catalog_names():
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 7, 8)} <= set(catalog.QUERIES)
     assert any(q.startswith("p6_") for q in catalog.QUERIES)
+
+
+def test_null_keys_are_records_of_their_own(spark):
+    from topolith.llm import distinctive
+
+    rows = [("f", None, ["a", "x"]), ("f", None, ["b", "y", "z"]), ("f", 1, ["a", "b", "x", "y", "z"])]
+    df = spark.createDataFrame(rows, "field string, record_key long, items array<string>")
+    best = distinctive.best_terms(distinctive.distinctiveness(df), 2).where("record_key is null").collect()
+    assert {r["term"] for r in best} == {"a", "x", "b", "y", "z"}

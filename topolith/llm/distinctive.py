@@ -18,7 +18,7 @@ def distinctiveness(records: DataFrame, mu: float = 10.0, min_df: int = 2, hot_s
     and the collection.  It falls strictly as more records hold the term.  Terms held
     by fewer than ``min_df`` records get no row.  Null or empty lists give no row.
 
-    Returns ``field, record_key, term, df, n_terms, score``.
+    Returns ``field, record_key, record_id, term, df, n_terms, score``.
 
     Terms in more than ``hot_share`` of a field's records are few by arithmetic (at most
     items per record / hot_share); if their bound is within ``hot_limit`` they are
@@ -27,8 +27,9 @@ def distinctiveness(records: DataFrame, mu: float = 10.0, min_df: int = 2, hot_s
     """
     if mu <= 0 or min_df < 1:
         raise ValueError("mu must be positive and min_df at least 1")
-    records = materialize(records.select("field", "record_key", "items").where(F.size("items") > 0), "records")
-    terms = records.select("field", "record_key", F.size("items").alias("n_terms"), F.explode("items").alias("term"))
+    # Null keys make rows records of their own, so an id of the written rows, not the key, tells records apart.
+    records = materialize(records.select("field", "record_key", "items", F.monotonically_increasing_id().alias("record_id")).where(F.size("items") > 0), "records")
+    terms = records.select("field", "record_key", "record_id", F.size("items").alias("n_terms"), F.explode("items").alias("term"))
     counts = materialize(terms.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), "term-df")
     sums = [(r["field"], r["total"]) for r in counts.groupBy("field").agg(F.sum("df").alias("total")).collect()]
     counts = counts.where(F.col("df") >= min_df)
@@ -56,10 +57,10 @@ def distinctiveness(records: DataFrame, mu: float = 10.0, min_df: int = 2, hot_s
         joined = terms.join(small, key(terms)).drop("cf", "ct")
     pc = F.col("df") / total
     pd = (1 + mu * pc) / (F.col("n_terms") + mu)
-    return joined.select("field", "record_key", "term", "df", "n_terms", (pd * F.log(pd / pc)).alias("score"))
+    return joined.select("field", "record_key", "record_id", "term", "df", "n_terms", (pd * F.log(pd / pc)).alias("score"))
 
 
 def best_terms(scored: DataFrame, max_df: int) -> DataFrame:
     """The terms with the best score of their record, all of them if equal, held by at most ``max_df`` records."""
-    top = F.max("score").over(Window.partitionBy("field", "record_key"))
+    top = F.max("score").over(Window.partitionBy("field", "record_id"))
     return scored.withColumn("top", top).where((F.col("score") == F.col("top")) & (F.col("df") <= max_df)).drop("top")
