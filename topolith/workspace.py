@@ -60,6 +60,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if there is no such folder."""
+    at, fs = _located(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def clean(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
     remove(spark, scratch_dir(spark))
