@@ -175,41 +175,43 @@ def test_plan_is_calibrated():
 # ---------------------------------------------------------------- p2
 
 
-@given(st.integers(4, 60), st.integers(0, 10**9))
-@settings(max_examples=300, deadline=None)
-def test_winnowing_never_loses_a_similar_pair(n, seed):
+@given(st.sampled_from([(0.5, 4), (0.6, 5), (0.7, 4), (0.9, 20), (0.3, 4)]), st.integers(4, 60), st.integers(0, 10**9))
+@settings(max_examples=400, deadline=None)
+def test_winnowing_never_loses_a_similar_pair(kind, n, seed):
+    threshold, least = kind
     rng = random.Random(seed)
     a = {rng.randint(0, 10**6) for _ in range(n)}
-    b = set(a)
-    while b and len(a & b) / len(a | b) >= 0.7:
+    b, keep = set(a), set(a)
+    while b and len(a & b) / len(a | b) >= threshold:
         keep = set(b)
         b.discard(rng.choice(sorted(b)))
-        b.add(rng.randint(0, 10**6))
-    if min(len(a), len(keep)) < 4:
+        if rng.random() < 0.5:
+            b.add(rng.randint(0, 10**6))
+    if min(len(a), len(keep)) < least:
         return
-    w = history.window_for(0.7, 4)
+    run = history.run_length(threshold, least)
 
-    def runs(s):
+    def prints(s):
         xs = sorted(s)
-        return set(itertools.pairwise(xs))
+        hashes = sorted(hash((tuple(xs[k : k + run]), 7)) for k in range(len(xs) - run + 1))
+        shared = history.shared_runs(len(xs), threshold) if run == 2 else math.ceil(len(xs) * threshold - 1e-9)
+        return set(hashes[: len(hashes) - shared + 1])
 
-    assert w == 2 and runs(a) & runs(keep)
+    assert prints(a) & prints(keep)
 
 
-def test_wider_windows_winnow(spark):
-    w = history.window_for(0.9, 20)
-    assert w > 2
+def test_fingerprints_are_winnowed_and_shared(spark):
     rng = random.Random(1)
     sets = []
-    for _ in range(40):
-        a = {f"v{rng.randint(0, 9999):04d}" for _ in range(40)}
-        sets += [sorted(a), sorted(set(list(a)[1:]) | {f"v{rng.randint(0, 9999):04d}"})]
+    for _ in range(60):
+        a = {f"v{rng.randint(0, 9999):04d}" for _ in range(rng.randint(8, 40))}
+        sets += [sorted(a), sorted(set(sorted(a)[len(a) // 8 :]) | {f"v{rng.randint(0, 9999):04d}"})]
     df = spark.createDataFrame([(bytes([k]), 1, s) for k, s in enumerate(sets)], "g binary, salt long, tokens array<string>")
-    prints = defaultdict(set)
-    for r in history.fingerprints(df, w).collect():
-        prints[r["g"][0]].add(r["fp"])
-    assert all(prints[2 * k] & prints[2 * k + 1] for k in range(40))
-    assert sum(map(len, prints.values())) < 0.8 * sum(map(len, sets))
+    prints = {r["g"][0]: set(r["fps"]) for r in df.select("g", history.fingerprints(0.7, 4).alias("fps")).collect()}
+    assert all(prints[2 * k] & prints[2 * k + 1] for k in range(60) if jaccard(set(sets[2 * k]), set(sets[2 * k + 1])) >= 0.7)
+    assert sum(map(len, prints.values())) < 0.75 * sum(len(s) - 1 for s in sets)
+    topo = df.select("g", F.lit(None).cast("long").alias("salt"), F.lit(None).cast("array<string>").alias("tokens"))
+    assert all(len(r[0]) == 1 for r in topo.select(history.fingerprints(0.7, 4)).collect())
 
 
 ROW = "row_id long, batch_no int, id string, topology_hash string, fuzzy_hash string, identifying_features struct<required_calls:array<string>,optional_calls:array<string>,string_patterns:array<string>>"
@@ -247,9 +249,8 @@ def expected_repeats(sigs, feed):
     return out
 
 
-@pytest.mark.parametrize("step", [1, 3])
-def test_repeats_against_sequential_brute_force(spark, step):
-    rng = random.Random(5)
+def feed_rows(seed, n_sigs, n_feed, per_batch=12):
+    rng = random.Random(seed)
     pool = kin(25, 2)
 
     def some(k, batch):
@@ -258,10 +259,65 @@ def test_repeats_against_sequential_brute_force(spark, step):
             rng.choice(["B1", "b1 ", "B2", None, ""]), rng.choice([None, *map(sorted, pool)]),
         )
 
-    sigs, feed = [some(k, None) for k in range(1, 40)], [some(100 + k, 1 + k // 12) for k in range(60)]
+    return [some(k, None) for k in range(1, n_sigs + 1)], [some(100 + k, 1 + k // per_batch) for k in range(n_feed)]
+
+
+def test_repeats_against_sequential_brute_force(spark):
+    sigs, feed = feed_rows(5, 40, 60)
     s, f = spark.createDataFrame(sigs, ROW).drop("batch_no"), spark.createDataFrame(feed, ROW)
-    got = {(r[0], r[1]) for r in history.repeats(s, f, step).collect()}
-    assert got == expected_repeats(sigs, feed)
+    got = [(r[0], r[1]) for r in history.repeats(s, f).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected_repeats(sigs, feed)
+
+
+@pytest.mark.parametrize("local", [history.LOCAL, 0])
+def test_a_reopened_index_goes_on_where_it_stopped(spark, tmp_path, local):
+    sigs, feed = feed_rows(11, 30, 48, 16)
+    want = expected_repeats(sigs, feed)
+    path = str(tmp_path / "index")
+    first = history.HistoryIndex(spark, path, 100)
+    first.load(spark.createDataFrame(sigs, ROW))
+    got = set()
+    for n in (1, 2, 3):
+        index = history.HistoryIndex(spark, path)  # every batch opens the index anew
+        assert index.state["prints"] > 0
+        batch = spark.createDataFrame([r for r in feed if r[1] == n], ROW).withColumn("g", F.lit("x"))
+        got |= {(r[0], r[1]) for r in index.ingest(batch, local).collect()}
+    assert got == want
+    again = history.HistoryIndex(spark, path).ingest(spark.createDataFrame([r for r in feed if r[1] == 3], ROW), local).count()
+    with_groups = [r for r in feed if r[1] == 3 and (r[5] and len(set(r[5][0])) >= 4 and ((r[2] or "").strip() or (r[4] or "").strip()) or (r[3] or "").rsplit(":", 1)[-1].strip().strip("0") not in ("", "N/A"))]
+    assert again == len(with_groups)  # everything with a group is held by now
+    with pytest.raises(ValueError):
+        history.HistoryIndex(spark, path, threshold=0.8)
+    with pytest.raises(ValueError):
+        history.HistoryIndex(spark, path).load(spark.createDataFrame(sigs, ROW))
+
+
+def test_rows_read_for_a_batch_do_not_grow_with_the_history(spark, tmp_path):
+    def content(k):
+        rng = random.Random(k)
+        return row(k, 1, f"i{k}", hexes(k), f"F{k}", [f"v{rng.randint(0, 10**6)}" for _ in range(6)])
+
+    read = []
+    for n in (2000, 8000):
+        index = history.HistoryIndex(spark, str(tmp_path / f"n{n}"), n, per_filter=500)
+        index.load(spark.createDataFrame([content(k) for k in range(n)], ROW))
+        batch = [content(3), (10**7, 1, *content(5)[2:]), *[content(10**8 + k) for k in range(20)]]
+        assert {tuple(r) for r in index.ingest(spark.createDataFrame([(10**7 + 1, *content(3)[1:]), *batch[1:]], ROW)).collect()} == {(3, 10**7 + 1), (5, 10**7)}
+        read.append(index.store(index.looked_up).count())
+        assert len(index.looked_up) < 0.6 * index.state["parts"]
+    assert read[1] < 1.3 * read[0]
+
+
+def test_segments_merge_and_partitions_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "MERGE", 2)
+    index = history.HistoryIndex(spark, str(tmp_path / "i"), 1, per_filter=20)
+    sets = [[f"a{k}b{j}" for j in range(8)] for k in range(40)]
+    for n in range(4):
+        batch = [row(k, n, f"i{k}", None, f"F{k}", sets[k]) for k in range(10 * n, 10 * n + 10)]
+        assert index.ingest(spark.createDataFrame(batch, ROW)).count() == 0
+    assert len(index.state["segments"]) <= 2 and index.state["parts"] > 4
+    again = [row(1000 + k, 9, f"i{k}", None, f"F{k}", sets[k][1:] + ["z"]) for k in range(40)]
+    assert {tuple(r) for r in history.HistoryIndex(spark, index.path).ingest(spark.createDataFrame(again, ROW)).collect()} == {(k, 1000 + k) for k in range(40)}
 
 
 def test_repeats_of_empty_tables_and_chains(spark):
@@ -270,16 +326,17 @@ def test_repeats_of_empty_tables_and_chains(spark):
     # b repeats a; c resembles b but not a, and b was not accepted, so c is new.
     base = [f"c{k}" for k in range(10)]
     b, c = base[1:] + ["x"], base[3:] + ["x", "y", "z"]
-    feed = [row(1, 1, "i", None, "F", base), row(2, 1, "i", None, "F", b), row(3, 1, "i", None, "F", c)]
+    feed = [row(1, 1, "i", None, "F", base), row(2, 1, "i", None, "F", b), row(3, 1, "i", None, "F", c), row(2**60 + 1, 1, "I ", None, "F", c), row(None, 1, "i", None, "F", c)]
     got = history.repeats(none.drop("batch_no"), spark.createDataFrame(feed, ROW)).collect()
-    assert [tuple(r) for r in got] == [(1, 2)]
+    assert sorted(tuple(r) for r in got) == [(1, 2), (3, 2**60 + 1)]
 
 
 def test_bloom_filters_have_no_false_negatives(spark):
-    prints = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("part"), F.xxhash64("id").alias("fp"))
-    filters = history.bloom_filters(prints)
+    prints = spark.range(5000).select("id", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("part"), F.xxhash64("id").alias("fp"))
+    filters = history.bloom_filters(prints.where("id % 2 = 0"), spark.createDataFrame([], history.FILTERS))
+    filters = history.bloom_filters(prints.where("id % 2 = 1"), filters)
     assert filters.count() == 4
-    assert history.bloom_positives(prints, filters).count() == 5000
+    assert history.bloom_positives(prints.select("part", "fp"), filters).count() == 5000
     other = spark.range(10**6, 10**6 + 5000).select(F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("part"), F.xxhash64("id").alias("fp"))
     assert history.bloom_positives(other, filters).count() < 100
 
