@@ -34,6 +34,18 @@ def test_candidates_have_no_duplicates_and_respect_the_band(tables):
     assert pairs(scan.candidates(*tables)) == [(1, "A"), (1, "B"), (1, "D"), (2, "A"), (2, "B"), (2, "D")]
 
 
+def test_cells_of_entropy_lose_and_repeat_no_pair(spark):
+    nan = float("nan")
+    values = [0.0, 0.49, 0.5, 2.25, 7.99, 8.0, 9.5, -1.0, nan, None]
+    p = spark.createDataFrame([probe(k, "h", "b", e) for k, e in enumerate(values)], PROBE)
+    bands = [(e, tol) for e in (0.0, 0.5, 4.0, 8.0, 9.0, nan, None) for tol in (0.0, 0.1, 0.5, 3.0, 20.0, nan, None)]
+    s = spark.createDataFrame([sig(f"s{k}", "x", "b", e, tol) for k, (e, tol) in enumerate(bands)], SIG)
+    got = scan.candidates(p, s).select("func_id", "s_id").collect()
+    j = p.crossJoin(s.select(F.col("id").alias("s_id"), F.col("entropy_score").alias("se"), F.col("entropy_tolerance").alias("st")))
+    want = j.where(F.abs(F.col("entropy") - F.col("se")) <= F.when(F.coalesce("st", F.lit(0.0)) == 0, 0.5).otherwise(F.col("st"))).select("func_id", "s_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_exact_takes_the_best_and_least_id(tables):
     assert pairs(scan.scan_exact(*tables)) == [(1, "A")]
 
@@ -64,6 +76,7 @@ def test_closure_ends_on_cycles_and_stops_at_standard_packages(spark):
     assert sorted(r[0] for r in closure.dependencies(e, roots, "r/").collect()) == ["x.y/b", "x.y/c"]
     assert [r[0] for r in closure.dependencies(e, roots, "r/", transitive=False).collect()] == ["x.y/b"]
     assert closure.dependencies(e.limit(0), roots, "r/").count() == 0
+    assert sorted(r[0] for r in closure.dependencies(e, roots, "").collect()) == ["x.y/b", "x.y/c"]
 
 
 def test_dependency_filter(spark):

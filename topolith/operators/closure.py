@@ -22,17 +22,18 @@ def dependencies(imports: DataFrame, roots: DataFrame, root_module: str, transit
     """(pkg_path): packages imported by ``roots(pkg_path)``, directly or over any number of steps.
 
     ``imports(pkg_path, import_path[, module])``.  Standard packages and those whose path starts
-    with ``root_module`` are left out, and nothing is reached through them.  Cycles end.
+    with ``root_module`` are left out, and nothing is reached through them; an empty ``root_module`` leaves out none.  Cycles end.
     """
     module = F.col("module") if "module" in imports.columns else F.lit(None).cast("string")
-    keep = is_third_party(F.col("import_path"), module) & ~F.col("import_path").startswith(root_module)
+    keep = is_third_party(F.col("import_path"), module)
+    if root_module:
+        keep &= ~F.col("import_path").startswith(root_module)
     edges = materialize(imports.where(keep).select("pkg_path", "import_path").distinct(), "imports")
     step = lambda f: f.join(edges, "pkg_path").select(F.col("import_path").alias("pkg_path")).distinct()
-    seen = materialize(step(roots.select("pkg_path").distinct()), "closure")
-    frontier = seen
+    seen = frontier = materialize(step(roots.select("pkg_path").distinct()), "frontier")
     while transitive:
         frontier = materialize(step(frontier).join(seen, "pkg_path", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = materialize(seen.unionByName(frontier), "closure")
+        seen = seen.unionByName(frontier)  # the written frontiers side by side; none is written again
     return seen

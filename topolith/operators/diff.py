@@ -7,7 +7,7 @@ short name, the rest by structure within a bucket, one to one; what is left was
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, scoring
@@ -28,9 +28,12 @@ def version(functions: DataFrame) -> DataFrame:
 
 
 def last_by_key(v: DataFrame) -> DataFrame:
-    """One row per short name, the last by full name; rows without a name do not take part."""
-    by = Window.partitionBy("key").orderBy(F.col("function_name").desc(), F.col("fingerprint").desc())
-    return v.where("function_name is not null").withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank")
+    """One row per short name, the last by full name; rows without a name do not take part.
+
+    An aggregate and not a window: a name like ``main`` that every package has is combined map-side.
+    """
+    last = F.max_by(F.struct(*[c for c in v.columns if c != "key"]), F.struct("function_name", "fingerprint"))
+    return v.where("function_name is not null").groupBy("key").agg(last.alias("v")).select("key", "v.*")
 
 
 def _prefixed(v: DataFrame, mark: str) -> DataFrame:

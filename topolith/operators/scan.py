@@ -75,12 +75,38 @@ def sure(confidence: Column, least: float) -> Column:
     return (confidence >= least) & ~F.isnan(confidence)
 
 
+CELL, CELLS = 0.5, 16  # width and highest number of a cell of entropy
+
+
+def _cell(entropy_of: Column) -> Column:
+    """Cell of an entropy, 0 for null and NaN; values outside 0..8 fall into the cells at the ends."""
+    at = F.floor(entropy_of / CELL)
+    return F.when(entropy_of.isNull() | F.isnan(entropy_of), 0).otherwise(F.greatest(F.lit(0), F.least(at, F.lit(CELLS)))).cast("int")
+
+
+def _cells(s: DataFrame, default_tolerance: float) -> DataFrame:
+    """A signature in every cell that its entropy band touches, so a probe meets it in its own cell and there alone."""
+    tol = entropy.effective_tolerance(F.col("s_entropy_tolerance"), default_tolerance)
+    low, high = F.col("s_entropy_score") - tol, F.col("s_entropy_score") + tol
+    plain = low.isNotNull() & ~F.isnan(low) & (low <= high)
+    every = F.sequence(F.lit(0), F.lit(CELLS))
+    return s.withColumn("cell", F.explode(F.when(plain, F.sequence(_cell(low), _cell(high))).otherwise(every)))
+
+
 def candidates(p: DataFrame, signatures: DataFrame, default_tolerance: float = DEFAULT_TOLERANCE, *extra: str) -> DataFrame:
-    """Pairs with equal hash or equal non-empty bucket, within the signature's entropy band."""
+    """Pairs with equal hash or equal non-empty bucket, within the signature's entropy band.
+
+    The bucket join has the entropy cell in its key, so a full bucket is cut into as many parts and most pairs
+    outside the band are never made.
+    """
     s = _sides(signatures, *extra)
     band = entropy.within_tolerance(F.col("entropy"), F.col("s_entropy_score"), F.col("s_entropy_tolerance"), default_tolerance)
     by_hash = p.join(s, F.col("hash") == F.col("s_topology_hash"))
-    by_bucket = p.join(s.where("s_fuzzy_hash <> ''"), F.col("bucket") == F.col("s_fuzzy_hash")).where(~F.col("hash").eqNullSafe(F.col("s_topology_hash")))
+    cells = _cells(s.where("s_fuzzy_hash <> ''"), default_tolerance)
+    by_bucket = (
+        p.withColumn("cell", _cell(F.col("entropy"))).join(cells.withColumnRenamed("cell", "s_cell"), (F.col("bucket") == F.col("s_fuzzy_hash")) & (F.col("cell") == F.col("s_cell")))
+        .where(~F.col("hash").eqNullSafe(F.col("s_topology_hash"))).drop("cell", "s_cell")
+    )
     return by_hash.unionByName(by_bucket).where(band)
 
 
@@ -98,12 +124,13 @@ def scan_exact(p: DataFrame, signatures: DataFrame, threshold: float = DEFAULT_T
     return scored.withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank")
 
 
-def all_pairs(p: DataFrame, signatures: DataFrame, blocks: int = 16, *extra: str) -> DataFrame:
+def all_pairs(p: DataFrame, signatures: DataFrame, per_block: int = 500, *extra: str) -> DataFrame:
     """A stated set of probes against every signature, block by block.
 
-    Probes are dealt to ``blocks`` by hash and every signature visits each block, so a task holds one
-    block of probes and the signatures stream past it.
+    Probes are dealt by hash to blocks of about ``per_block``, at least 16, and every signature visits each block,
+    so a task holds one block of probes and the signatures stream past it, and the tasks grow with the probes.
     """
+    blocks = max(16, -(-p.count() // per_block))
     s = _sides(signatures, *extra).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return p.withColumn("block", F.pmod(F.xxhash64("func_id"), F.lit(blocks)).cast("int")).join(s, "block").drop("block")
 
@@ -118,7 +145,7 @@ def scan_full_exact(p: DataFrame, signatures: DataFrame, position: str) -> DataF
 
     The default band is 0, so an unset band with equal entropy is 0/0 and never a match.
     """
-    scored = score(all_pairs(p, signatures, 16, position), 0.0).where(sure(F.col("confidence"), EXACT_THRESHOLD))
+    scored = score(all_pairs(p, signatures, 500, position), 0.0).where(sure(F.col("confidence"), EXACT_THRESHOLD))
     by = Window.partitionBy("func_id").orderBy("s_" + position)
     return scored.withColumn("rank", F.row_number().over(by)).where("rank = 1").drop("rank")
 

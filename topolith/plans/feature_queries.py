@@ -54,13 +54,14 @@ def _text(spark: SparkSession, d: str) -> DataFrame:
 
 _DOC_ENTROPY = f"""docs AS ({_BYTES}), ex AS (SELECT func_id, unnest(b) AS x FROM docs), cnt AS (SELECT func_id, x, count(*) AS n FROM ex GROUP BY ALL),
  tot AS (SELECT func_id, sum(n) AS t FROM cnt GROUP BY ALL),
- ent AS (SELECT func_id, coalesce(round(0.0 - sum(n / t * log2(n / t)), 6), 0.0::DOUBLE) + 0.0 AS entropy FROM docs LEFT JOIN cnt USING (func_id) LEFT JOIN tot USING (func_id) GROUP BY func_id)"""
+ ent AS (SELECT func_id, coalesce(0.0 - sum(n / t * log2(n / t)), 0.0::DOUBLE) + 0.0 AS raw, round(coalesce(0.0 - sum(n / t * log2(n / t)), 0.0::DOUBLE), 6) + 0.0 AS entropy FROM docs LEFT JOIN cnt USING (func_id) LEFT JOIN tot USING (func_id) GROUP BY func_id)"""
 
 
-@query(f"WITH {_DOC_ENTROPY} SELECT func_id, entropy::DOUBLE AS entropy, {class_sql('entropy')} AS class, round(entropy / 8, 6)::DOUBLE AS normalized FROM ent")
+@query(f"WITH {_DOC_ENTROPY} SELECT func_id, entropy::DOUBLE AS entropy, {class_sql('entropy')} AS class, round(raw / 8, 6)::DOUBLE AS normalized FROM ent")
 def entropy_documents(spark: SparkSession, d: str) -> DataFrame:
-    e = _text(spark, d).select("func_id", F.round(entropy.byte_entropy(F.col("data")), 6).alias("entropy"))
-    return e.select("func_id", "entropy", entropy.entropy_class(F.col("entropy")).alias("class"), F.round(entropy.entropy_normalized(F.col("entropy")), 6).alias("normalized"))
+    e = _text(spark, d).select("func_id", entropy.byte_entropy(F.col("data")).alias("raw"))
+    e = e.withColumn("entropy", F.round("raw", 6))
+    return e.select("func_id", "entropy", entropy.entropy_class(F.col("entropy")).alias("class"), F.round(entropy.entropy_normalized(F.col("raw")), 6).alias("normalized"))
 
 
 @query(f"WITH {_DOC_ENTROPY} SELECT {class_sql('entropy')} AS class, count(*) AS n FROM ent GROUP BY 1")
@@ -220,7 +221,9 @@ _O = {
 }
 
 
-@query(f"""WITH {fx.FUNCTIONS_SQL}, f AS (SELECT func_id, obfuscation AS o, coalesce(block_count, 0) AS blocks, coalesce(loop_count, 0) AS loops FROM functions WHERE obfuscation IS NOT NULL),
+@query(f"""WITH {fx.FUNCTIONS_SQL}, f AS (SELECT func_id, {{'max_window_entropy': coalesce(obfuscation.max_window_entropy, 0.0::DOUBLE), 'const_pool_entropy': coalesce(obfuscation.const_pool_entropy, 0.0::DOUBLE), 'byte_array_payload_bytes': coalesce(obfuscation.byte_array_payload_bytes, 0),
+   'indirect_call_ratio': coalesce(obfuscation.indirect_call_ratio, 0.0::DOUBLE), 'flattening_score': coalesce(obfuscation.flattening_score, 0.0::DOUBLE), 'decoder_loop_likelihood': coalesce(obfuscation.decoder_loop_likelihood, 0.0::DOUBLE)}} AS o,
+   coalesce(block_count, 0) AS blocks, coalesce(loop_count, 0) AS loops FROM functions),
  s AS (SELECT func_id, o, ({_O['w']})::DOUBLE AS v1, ({_O['c']})::DOUBLE AS v2, ({_O['r']})::DOUBLE AS v3, o.indirect_call_ratio AS v4, o.flattening_score AS v5, o.decoder_loop_likelihood AS v6,
   coalesce(o.max_window_entropy > 0, false) AS a1, coalesce(o.const_pool_entropy > 0, false) AS a2, coalesce(o.byte_array_payload_bytes > 0, false) AS a3, true AS a4, blocks >= 6 AS a5, loops > 0 AS a6 FROM f),
  t AS (SELECT *, (CASE WHEN a1 THEN 0.30::DOUBLE*v1 ELSE 0 END + CASE WHEN a2 THEN 0.20::DOUBLE*v2 ELSE 0 END + CASE WHEN a3 THEN 0.15::DOUBLE*v3 ELSE 0 END + CASE WHEN a4 THEN 0.15::DOUBLE*v4 ELSE 0 END + CASE WHEN a5 THEN 0.10::DOUBLE*v5 ELSE 0 END + CASE WHEN a6 THEN 0.10::DOUBLE*v6 ELSE 0 END)
@@ -231,13 +234,13 @@ _O = {
  u AS (SELECT *, greatest(m, floor_) AS raw FROM t), z AS (SELECT *, CASE WHEN hard = 0 AND soft < 2 THEN least(raw, 0.49) ELSE raw END AS sc FROM u)
  SELECT func_id, round(sc, 6)::DOUBLE AS score, CASE WHEN round(sc, 6) < 0.25 THEN 'NONE' WHEN round(sc, 6) < 0.5 THEN 'LOW' WHEN round(sc, 6) < 0.75 THEN 'MODERATE' ELSE 'HIGH' END AS class, (hard + soft)::BIGINT AS indicators FROM z""")
 def obfuscation_score(spark: SparkSession, d: str) -> DataFrame:
-    o = lambda c: F.col("obfuscation." + c)
+    o = lambda c: F.coalesce("obfuscation." + c, F.lit(0))
     n = lambda c: F.coalesce(c, F.lit(0))
     profile = scoring.obfuscation_profile(
         o("max_window_entropy"), o("const_pool_entropy"), o("byte_array_payload_bytes"), o("indirect_call_ratio"), o("flattening_score"), o("decoder_loop_likelihood"),
         o("max_window_entropy") > 0, o("const_pool_entropy") > 0, F.lit(True), n("block_count") >= 6, n("loop_count") > 0,
     )
-    p = fx.functions(spark, d).where("obfuscation is not null").select("func_id", profile.alias("p"))
+    p = fx.functions(spark, d).select("func_id", profile.alias("p"))
     return p.select("func_id", F.round("p.score", 6).alias("score"), scoring.obfuscation_class(F.round("p.score", 6)).alias("class"), F.size("p.indicators").cast("long").alias("indicators"))
 
 
@@ -320,9 +323,9 @@ def module_line(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("k"), names.module_line(text).alias("module"))
 
 
-@query("SELECT row_id, 'SFW-' || upper(substr(category, 1, 3)) || '-' || floor(epoch(ingested_at))::BIGINT || '-' || row_number() OVER (PARTITION BY category ORDER BY row_id) AS new_id, strftime(ingested_at, '%Y-%m-%d') AS created FROM signatures WHERE category IS NOT NULL AND ingested_at IS NOT NULL")
+@query("SELECT row_id, 'SFW-' || upper(substr(coalesce(category, ''), 1, 3)) || '-' || coalesce(floor(epoch(ingested_at))::BIGINT, 0) || '-' || row_number() OVER (PARTITION BY category ORDER BY row_id) AS new_id, strftime(ingested_at, '%Y-%m-%d') AS created FROM signatures")
 def numbered_ids(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.read(spark, d, "signatures").where("category is not null and ingested_at is not null")
+    s = fx.read(spark, d, "signatures")
     k = F.row_number().over(Window.partitionBy("category").orderBy("row_id"))
-    at = F.floor(F.col("ingested_at").cast("timestamp").cast("double")).cast("long")
-    return s.select("row_id", names.signature_id(F.col("category"), at, k).alias("new_id"), F.date_format("ingested_at", "yyyy-MM-dd").alias("created"))
+    at = F.coalesce(F.floor(F.col("ingested_at").cast("timestamp").cast("double")).cast("long"), F.lit(0))
+    return s.select("row_id", names.signature_id(F.coalesce("category", F.lit("")), at, k).alias("new_id"), F.date_format("ingested_at", "yyyy-MM-dd").alias("created"))

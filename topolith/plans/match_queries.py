@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scoring, text
@@ -46,34 +46,37 @@ def similarity_sql(a: str, b: str) -> str:
 
 # ---------------------------------------------------------------- similarity of functions in a bucket
 
-_NEXT = f"""{fx.FUNCTIONS_SQL}, b AS (SELECT *, {bucket_sql()} AS bucket FROM functions),
- pairs AS (SELECT a, b FROM (SELECT b AS a, lead(b) OVER (PARTITION BY bucket ORDER BY func_id) AS b FROM b) WHERE b IS NOT NULL)"""
+# Probes: the functions whose id 50 divides, against every function of their bucket.
+_SEARCH = f"""{fx.FUNCTIONS_SQL}, b AS (SELECT *, {bucket_sql()} AS bucket FROM functions),
+ pairs AS (SELECT x AS a, y AS b FROM b x JOIN b y ON x.bucket = y.bucket AND x.func_id % 50 = 0 AND x.func_id <> y.func_id)"""
 
 
-def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Each function beside the next one of its bucket."""
+def _search(spark: SparkSession, d: str, columns: tuple[str, ...] = diff.FEATURES) -> DataFrame:
     f = scoring.side()
     bucket = names.fuzzy_hash(f["block_count"], f["loop_count"], f["branch_count"], f["param_count"], f["return_count"])
-    rows = fx.functions(spark, d).select("func_id", bucket.alias("bucket"), F.struct("func_id", *diff.FEATURES).alias("a"))
-    return rows.withColumn("b", F.lead("a").over(Window.partitionBy("bucket").orderBy("func_id"))).where("b is not null")
+    rows = fx.functions(spark, d).select(bucket.alias("bucket"), F.struct("func_id", *columns).alias("a"))
+    pairs = rows.where("a.func_id % 50 = 0").join(rows.withColumnRenamed("a", "b"), "bucket")
+    return pairs.where("a.func_id <> b.func_id").select("a", "b")
 
 
-@query(f"WITH {_NEXT} SELECT a.func_id AS a, b.func_id AS b, round({similarity_sql('a.', 'b.')}, 6)::DOUBLE AS similarity FROM pairs")
+@query(f"WITH {_SEARCH} SELECT a.func_id AS a, b.func_id AS b, round({similarity_sql('a.', 'b.')}, 6)::DOUBLE AS similarity FROM pairs")
 def topology_similarity(spark: SparkSession, d: str) -> DataFrame:
     sim = scoring.topology_similarity(scoring.side("a"), scoring.side("b"))
-    return _neighbours(spark, d).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("similarity"))
+    return _search(spark, d).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("similarity"))
 
 
-@query(f"WITH {_NEXT} SELECT a.func_id AS a, b.func_id AS b, round({ruzicka_sql('a.call_signatures', 'b.call_signatures')}, 6)::DOUBLE AS calls FROM pairs")
+@query(f"WITH {_SEARCH} SELECT a.func_id AS a, b.func_id AS b, round({ruzicka_sql('a.call_signatures', 'b.call_signatures')}, 6)::DOUBLE AS calls FROM pairs")
 def map_similarity(spark: SparkSession, d: str) -> DataFrame:
-    sim = scoring.map_similarity(scoring.side("a")["call_signatures"], scoring.side("b")["call_signatures"])
-    return _neighbours(spark, d).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("calls"))
+    none = F.create_map().cast("map<string,int>")
+    sim = scoring.map_similarity(F.coalesce("a.call_signatures", none), F.coalesce("b.call_signatures", none))
+    return _search(spark, d, ("call_signatures",)).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("calls"))
 
 
-@query(f"WITH {_NEXT} SELECT a.func_id AS a, b.func_id AS b, round({dice_sql('a.param_types', 'b.param_types')}, 6)::DOUBLE AS params FROM pairs")
+@query(f"WITH {_SEARCH} SELECT a.func_id AS a, b.func_id AS b, round({dice_sql('a.param_types', 'b.param_types')}, 6)::DOUBLE AS params FROM pairs")
 def type_dice(spark: SparkSession, d: str) -> DataFrame:
-    sim = scoring.type_dice(scoring.side("a")["param_types"], scoring.side("b")["param_types"])
-    return _neighbours(spark, d).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("params"))
+    none = F.array().cast("array<string>")
+    sim = scoring.type_dice(F.coalesce("a.param_types", none), F.coalesce("b.param_types", none))
+    return _search(spark, d, ("param_types",)).select(F.col("a.func_id").alias("a"), F.col("b.func_id").alias("b"), F.round(sim, 6).alias("params"))
 
 
 # ---------------------------------------------------------------- similarity of all pairs of a bucket
@@ -156,9 +159,9 @@ def _evidence(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH {_PROBES}, {fx.SIGNATURES_SQL}, {_scored(_CAND, '0.5')} SELECT func_id, row_id, severity, round(confidence, 6)::DOUBLE AS confidence, round(dist, 6)::DOUBLE AS entropy_distance, array_to_string(found, ',') AS calls_matched, array_to_string(hits, ',') AS strings_matched, same OR likeness > 0.8 AS topology_match FROM scored WHERE {_SURE} 0.75")
+@query(f"WITH {_PROBES}, {fx.SIGNATURES_SQL}, {_scored(_CAND, '0.5')} SELECT func_id, row_id, severity, round(confidence, 6)::DOUBLE AS confidence, round(dist, 6)::DOUBLE AS entropy_distance, array_to_string(found, ',') AS calls_matched, array_to_string(hits, ',') AS strings_matched, same OR likeness > 0.8 AS topology_match FROM scored WHERE {_SURE} 0.3")
 def scan_bucket(spark: SparkSession, d: str) -> DataFrame:
-    out = scan.scan_bucket(scan.probes(fx.functions(spark, d)), fx.signatures(spark, d), 0.75, 0.5, "row_id")
+    out = scan.scan_bucket(scan.probes(fx.functions(spark, d)), fx.signatures(spark, d), 0.3, 0.5, "row_id")
     return out.select(
         "func_id", F.col("s_row_id").alias("row_id"), F.col("s_severity").alias("severity"), F.round("confidence", 6).alias("confidence"), F.round("entropy_distance", 6).alias("entropy_distance"),
         F.array_join("calls_matched", ",").alias("calls_matched"), F.array_join("strings_matched", ",").alias("strings_matched"), "topology_match",
@@ -183,7 +186,7 @@ _QUERY_SET = "(SELECT * FROM probes WHERE func_id % 50 = 0) p CROSS JOIN sigs s"
 @query(f"WITH {_PROBES}, {fx.SIGNATURES_SQL}, {_scored(_QUERY_SET, '0.5')} SELECT func_id, row_id, round(confidence, 6)::DOUBLE AS confidence FROM scored WHERE {_SURE} 0.75")
 def scan_full_cross(spark: SparkSession, d: str) -> DataFrame:
     p = scan.probes(fx.functions(spark, d)).where("func_id % 50 = 0")
-    out = scan.score(scan.all_pairs(p, fx.signatures(spark, d), 16, "row_id")).where(scan.sure(F.col("confidence"), 0.75))
+    out = scan.score(scan.all_pairs(p, fx.signatures(spark, d), 500, "row_id")).where(scan.sure(F.col("confidence"), 0.75))
     return _evidence(out, "func_id", F.col("s_row_id").alias("row_id"))  # type: ignore[arg-type]
 
 
@@ -321,6 +324,14 @@ def dep_transitive(spark: SparkSession, d: str) -> DataFrame:
     return closure.dependencies(i, i.where(F.col("pkg_path").startswith("root.example")).select("pkg_path"), "root.example")
 
 
+@query(f"""WITH RECURSIVE {fx.IMPORTS_SQL}, e AS (SELECT * FROM imports WHERE contains(split_part(import_path, '/', 1), '.')), r(pkg_path) AS (SELECT import_path FROM e WHERE starts_with(pkg_path, 'root.example') UNION SELECT e.import_path FROM r JOIN e ON e.pkg_path = r.pkg_path)
+ SELECT DISTINCT pkg_path FROM r""")
+def dep_no_root(spark: SparkSession, d: str) -> DataFrame:
+    """The closure without a root module, which leaves out standard packages only."""
+    i = fx.imports(spark, d)
+    return closure.dependencies(i, i.where(F.col("pkg_path").startswith("root.example")).select("pkg_path"), "")
+
+
 # ---------------------------------------------------------------- loops
 
 

@@ -9,52 +9,45 @@ from ..sources import store
 from . import fixtures as fx
 from .registry import query
 
-_COLS = "id, name, topology_hash, fuzzy_hash, entropy_score"
+_ID = "CASE WHEN coalesce(id, '') <> '' THEN id ELSE 'SFW-AUTO-' || substr(sha256(concat_ws(chr(31), row_id::VARCHAR, coalesce(name, ''), coalesce(topology_hash, ''), coalesce(fuzzy_hash, ''))), 1, 16) END"
+_FILLED = f"""base_ AS (SELECT row_id, {_ID} AS id, name, topology_hash, fuzzy_hash, entropy_score FROM signatures),
+ feed_ AS (SELECT row_id, {_ID} AS id, name, topology_hash, fuzzy_hash, entropy_score FROM signature_feed)"""
 
 
-def _base(spark: SparkSession, d: str) -> DataFrame:
-    return fx.read(spark, d, "signatures").where("coalesce(id, '') <> ''").select("row_id", "id", "name", "topology_hash", "fuzzy_hash", "entropy_score", "metadata")
+def _rows(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return store.with_ids(fx.read(spark, d, table).select("row_id", "id", "name", "topology_hash", "fuzzy_hash", "entropy_score"), "row_id")
 
 
-def _feed(spark: SparkSession, d: str) -> DataFrame:
-    return fx.read(spark, d, "signature_feed").where("coalesce(id, '') <> ''").select("row_id", "id", "name", "topology_hash", "fuzzy_hash", "entropy_score", "metadata")
-
-
-@query(f"""WITH new_ AS (SELECT row_id, {_COLS} FROM signature_feed WHERE coalesce(id, '') <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1)
- SELECT row_id, {_COLS} FROM signatures WHERE coalesce(id, '') <> '' AND id NOT IN (SELECT id FROM new_) UNION ALL SELECT * FROM new_""")
+@query(f"""WITH {_FILLED}, new_ AS (SELECT * FROM feed_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1)
+ SELECT * FROM base_ WHERE id NOT IN (SELECT id FROM new_) UNION ALL SELECT * FROM new_""")
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    return store.upsert(_base(spark, d), _feed(spark, d), "row_id").drop("metadata")
+    return store.upsert(_rows(spark, d, "signatures"), _rows(spark, d, "signature_feed"), "row_id")
 
 
-@query("SELECT id, count(*) AS rows, arg_max(name, row_id) AS name FROM (SELECT row_id, id, name FROM signatures WHERE coalesce(id, '') <> '' UNION ALL SELECT row_id, id, name FROM signature_feed WHERE coalesce(id, '') <> '') GROUP BY id")
+@query(f"WITH {_FILLED} SELECT id, count(*) AS rows, arg_max(name, row_id) FILTER (row_id = last) AS name FROM (SELECT *, max(row_id) OVER (PARTITION BY id) AS last FROM (SELECT * FROM base_ UNION ALL SELECT * FROM feed_)) GROUP BY id")
 def append_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    both = store.append(_base(spark, d), _feed(spark, d))
+    both = store.append(_rows(spark, d, "signatures"), _rows(spark, d, "signature_feed"))
     last = store.last_of_batch(both, "row_id").select("id", "name")
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).join(last, "id").select("id", "rows", "name")
 
 
-@query(f"SELECT row_id, {_COLS} FROM signatures WHERE coalesce(id, '') <> '' AND id NOT IN (SELECT id FROM signature_feed WHERE coalesce(id, '') <> '')")
+@query(f"WITH {_FILLED} SELECT * FROM base_ WHERE id NOT IN (SELECT id FROM feed_)")
 def delete_sig(spark: SparkSession, d: str) -> DataFrame:
-    return store.delete(_base(spark, d), _feed(spark, d).select("id").distinct()).drop("metadata")
+    return store.delete(_rows(spark, d, "signatures"), _rows(spark, d, "signature_feed").select("id").distinct())
 
 
-@query("""WITH m AS (SELECT id, min(name) AS notes FROM signature_feed WHERE coalesce(id, '') <> '' AND name IS NOT NULL GROUP BY id)
- SELECT row_id, array_to_string(list_concat(coalesce(metadata.references, []), CASE WHEN notes IS NULL THEN [] ELSE ['FP:2025-06-01T00:00:00Z:' || notes] END), '|') AS refs
- FROM signatures LEFT JOIN m USING (id) WHERE coalesce(id, '') <> '' AND (metadata IS NOT NULL)""")
+@query("""WITH m AS (SELECT id, min(name) AS notes FROM signature_feed WHERE coalesce(id, '') <> '' GROUP BY id)
+ SELECT row_id, array_to_string(list_concat(coalesce(metadata.references, []), CASE WHEN m.id IS NULL THEN [] ELSE ['FP:2025-06-01T00:00:00Z:' || coalesce(notes, '')] END), '|') AS refs, metadata.author AS author FROM signatures LEFT JOIN m USING (id)""")
 def mark_fp(spark: SparkSession, d: str) -> DataFrame:
-    marks = _feed(spark, d).where("name is not null").groupBy("id").agg(F.min("name").alias("notes"))
-    out = store.mark_false_positive(_base(spark, d).where("metadata is not null"), marks, F.lit("2025-06-01").cast("timestamp"))
-    return out.select("row_id", F.array_join(F.coalesce("metadata.references", F.array().cast("array<string>")), "|").alias("refs"))
+    marks = fx.read(spark, d, "signature_feed").where("coalesce(id, '') <> ''").groupBy("id").agg(F.min("name").alias("notes"))
+    rows = fx.read(spark, d, "signatures").select("row_id", "id", "metadata")
+    out = store.mark_false_positive(rows, marks, F.lit("2025-06-01").cast("timestamp"))
+    return out.select("row_id", F.array_join(F.coalesce("metadata.references", F.array().cast("array<string>")), "|").alias("refs"), F.col("metadata.author").alias("author"))
 
 
-@query("SELECT row_id, CASE WHEN coalesce(id, '') = '' THEN 'SFW-AUTO-' ELSE id END AS id, CASE WHEN coalesce(id, '') = '' THEN 25 ELSE length(id) END AS n FROM signatures")
+@query(f"SELECT row_id, {_ID} AS id FROM signatures")
 def auto_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Which rows get a made-up id, and its length; the digits are a digest and not part of the check."""
-    s = fx.read(spark, d, "signatures")
-    made = store.with_ids(s.select("row_id", "id", "name", "topology_hash", "fuzzy_hash"), "row_id").select("row_id", F.col("id").alias("new_id"))
-    j = made.join(s.select("row_id", F.col("id").alias("old_id")), "row_id")
-    blank = F.coalesce("old_id", F.lit("")) == ""
-    return j.select("row_id", F.when(blank, F.substring("new_id", 1, 9)).otherwise(F.col("new_id")).alias("id"), F.length("new_id").cast("long").alias("n"))
+    return _rows(spark, d, "signatures").select("row_id", "id")
 
 
 @query("SELECT topology_hash, min(id) AS id FROM signatures WHERE topology_hash <> '' AND id IS NOT NULL GROUP BY topology_hash")
@@ -67,9 +60,9 @@ def entropy_range(spark: SparkSession, d: str) -> DataFrame:
     return store.entropy_range(fx.read(spark, d, "signatures"), 4.5, 5.5).select("row_id", "id", "entropy_score")
 
 
-@query("SELECT DISTINCT id FROM signatures WHERE coalesce(id, '') <> ''")
+@query(f"WITH {_FILLED} SELECT DISTINCT id FROM base_")
 def sig_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _base(spark, d).select("id").distinct().orderBy("id")
+    return store.ids(_rows(spark, d, "signatures"))
 
 
 @query("SELECT count(*) AS signatures, count(*) FILTER (coalesce(topology_hash, '') <> '') AS by_hash, count(*) FILTER (coalesce(fuzzy_hash, '') <> '') AS by_bucket, count(*) FILTER (entropy_score IS NOT NULL) AS by_entropy FROM signatures")
@@ -77,7 +70,7 @@ def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return store.statistics(fx.read(spark, d, "signatures"))
 
 
-@query("""SELECT row_id, id, '{"row_id":' || row_id || ',"id":"' || id || '","name":"' || name || '"}' AS line FROM signatures WHERE coalesce(id, '') <> '' AND name IS NOT NULL""")
+@query(f"""WITH {_FILLED} SELECT row_id, id, '{{"row_id":' || row_id || ',"id":"' || id || '"' || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || '}}' AS line FROM base_""")
 def export_json(spark: SparkSession, d: str) -> DataFrame:
-    lines = store.export_json(_base(spark, d).where("name is not null").select("row_id", "id", "name"))
+    lines = store.export_json(_rows(spark, d, "signatures").select("row_id", "id", "name"))
     return lines.select(F.get_json_object("line", "$.row_id").cast("long").alias("row_id"), "id", "line")

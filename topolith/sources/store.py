@@ -50,8 +50,9 @@ class ScanConfig:
 
 
 def with_ids(rows: DataFrame, position: str) -> DataFrame:
-    """Rows without an id get ``SFW-AUTO-`` and 16 hex digits from their content and position."""
-    digest = F.substring(F.sha2(F.to_json(F.struct(F.col(position), *[F.col(c) for c in ("name", "topology_hash", "fuzzy_hash") if c in rows.columns])), 256), 1, 16)
+    """Rows without an id get ``SFW-AUTO-`` and 16 hex digits from their position, name and hashes."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (position, "name", "topology_hash", "fuzzy_hash") if c in rows.columns]
+    digest = F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16)
     return rows.withColumn("id", F.when(F.coalesce("id", F.lit("")) != "", F.col("id")).otherwise(F.concat(F.lit("SFW-AUTO-"), digest)))
 
 
@@ -81,12 +82,15 @@ def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def mark_false_positive(base: DataFrame, marks: DataFrame, at: Column) -> DataFrame:
-    """Add ``FP:<time>:<notes>`` to the references of the marked ids; ``marks(id, notes)``, one per id."""
+    """Add ``FP:<time>:<notes>`` to the references of the marked ids; ``marks(id, notes)``, one per id.
+
+    A marked row without metadata gets some; null notes are empty ones; rows with a null id are never marked.
+    """
     note = F.concat(F.lit("FP:"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(":"), F.col("notes"))
     refs = F.coalesce("metadata.references", F.array().cast("array<string>"))
-    joined = base.join(marks.select("id", "notes"), "id", "left")
-    meta = F.when(F.col("notes").isNotNull(), F.col("metadata").withField("references", F.array_append(refs, note))).otherwise(F.col("metadata"))
-    return joined.withColumn("metadata", meta).drop("notes")
+    joined = base.join(marks.select("id", F.coalesce("notes", F.lit("")).alias("notes")), "id", "left")
+    fields = [F.array_append(refs, note).alias(f) if f == "references" else F.col(f"metadata.{f}").alias(f) for f in base.schema["metadata"].dataType.fieldNames()]
+    return joined.withColumn("metadata", F.when(F.col("notes").isNotNull(), F.struct(*fields)).otherwise(F.col("metadata"))).drop("notes")
 
 
 def by_id(base: DataFrame, key: str, position: str) -> DataFrame:
@@ -94,6 +98,11 @@ def by_id(base: DataFrame, key: str, position: str) -> DataFrame:
     return base.where(F.col("id") == key).orderBy(F.col(position).desc()).limit(1)
 
 
+def ids(base: DataFrame) -> DataFrame:
+    """Distinct ids in order; a null id is none."""
+    return base.select("id").where("id is not null").distinct().orderBy("id")
+
+
 def first_by_hash(base: DataFrame) -> DataFrame:
     """(topology_hash, id): the least id of every hash."""
     return base.where("topology_hash <> '' and id is not null").groupBy("topology_hash").agg(F.min("id").alias("id"))
