@@ -159,17 +159,26 @@ def test_similar_rows_edge_cases(spark):
     assert [tuple(r) for r in setjoin.similar_rows(long).collect()] == [(1, 2)]
 
 
-def test_plan_is_calibrated():
-    p = setjoin.plan(0.7)
-    assert p.recall > 0.997
+@pytest.mark.parametrize("classes", [10, 20_000, 10**6])
+def test_plan_is_calibrated(classes):
+    p = setjoin.plan(0.7, classes)
+    assert p.recall > 0.997 and p.width == min(24, max(12, math.ceil(math.log2(classes))))
     rng = np.random.default_rng(1)
     bits = p.words * 64
     hits = 0
     for _ in range(800):
         agree = rng.random(bits) < 0.85
-        hits += agree.reshape(-1, 16).all(axis=1).any() and (~agree[: p.check_words * 64]).sum() <= p.radius
+        hits += agree[: p.segments * p.width].reshape(-1, p.width).all(axis=1).any() and (~agree[: p.check_words * 64]).sum() <= p.radius
     assert hits >= 0.985 * 800
-    assert setjoin.plan(1.0).radius == 0
+    assert setjoin.plan(1.0, classes).radius == 0
+
+
+def test_hot_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HOT_CLASSES", 5)
+    sets = [set("abcdef")] * 12 + [set("abcdeg")] * 9 + kin(60)
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets, 1), 2) if min(len(a), len(b)) >= 4 and jaccard(a, b) >= 0.7 - 1e-9}
+    got = [tuple(r) for r in setjoin.similar_rows(sets_table(spark, sets)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 # ---------------------------------------------------------------- p2

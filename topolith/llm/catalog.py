@@ -50,7 +50,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_links(spark: SparkSession, d: str) -> DataFrame:
-    return setjoin.similar_counts(feature_table(spark, d)).select("row_id", "links")
+    """Every row that takes part, with its class, named by its least row, and the number of its links."""
+    rows = setjoin.similar_counts(feature_table(spark, d))
+    least = rows.groupBy("class_id").agg(F.min("row_id").alias("class_row"))
+    return rows.join(least, "class_id").select("row_id", "class_row", "links")
 
 
 def containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:

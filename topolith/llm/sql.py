@@ -83,6 +83,6 @@ SELECT matched_function, signature_id FROM best QUALIFY row_number() OVER (PARTI
 SELECT field, record_key, term FROM best WHERE df = least AND df <= 12""",
     "p4_scores": _SCORES + "SELECT field, record_key, term, df, n_terms, round(pd * ln(pd / pc), 6) AS score FROM parts",
     "p5_found": _SIMILAR + "SELECT row_a, row_b FROM near",
-    "p5_links": _SIMILAR + """SELECT row_id, count(row_a)::BIGINT AS links FROM sets
- LEFT JOIN (SELECT row_a, row_b FROM near UNION ALL SELECT row_b, row_a FROM near) ON row_a = row_id GROUP BY row_id""",
+    "p5_links": _SIMILAR + """SELECT row_id, class_row, count(row_a)::BIGINT AS links FROM sets JOIN (SELECT s, min(row_id) AS class_row FROM sets GROUP BY s) USING (s)
+ LEFT JOIN (SELECT row_a, row_b FROM near UNION ALL SELECT row_b, row_a FROM near) ON row_a = row_id GROUP BY row_id, class_row""",
 }
