@@ -411,7 +411,7 @@ def test_words():
     assert leakage.words_of(None) == leakage.words_of(" \n") == []
 
 
-def test_leakage_against_brute_force(spark):
+def test_leakage_against_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     vocab = [f"w{k}" for k in range(400)]
     items = [(k, [rng.choice(vocab) for _ in range(rng.choice([5, 12, 13, 40, 90]))]) for k in range(40)]
@@ -434,13 +434,23 @@ def test_leakage_against_brute_force(spark):
     d = spark.createDataFrame([(k, noise(w)) for k, w in docs] + [(999, None), (1000, "")], "doc_id long, text string").withColumn("item_id", F.lit(1))
     t = spark.createDataFrame([(k, noise(w)) for k, w in items] + [(77, None), (0, noise(items[0][1]))], "item_id long, text string")
     assert len(want) > 50
-    for block in (100_000, 200):
-        rows = [(r[0], r[1]) for r in leakage.leaked(d, t, block_words=block).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == want
+    rows = [(r[0], r[1]) for r in leakage.leaked(d, t).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    monkeypatch.setattr(leakage, "bitmap_bits", lambda keys: 1 << 16)  # a crowded bitmap loses nothing
+    assert {(r[0], r[1]) for r in leakage.leaked(d, t).collect()} == want
     assert leakage.leaked(d, t.limit(0)).count() == 0
     assert leakage.leaked(d.limit(0), t).count() == 0
 
 
+def test_runs_of_repeated_words_are_found(spark):
+    t = spark.createDataFrame([(1, "0 1 " * 10), (2, "no " * 14), (3, "a b c " * 6)], "item_id long, text string")
+    rng = random.Random(3)
+    filler = lambda n: [f"w{rng.randint(0, 999)}" for _ in range(n)]
+    docs = [(k, " ".join(filler(rng.randint(0, 60)) + ["0 1 " * 6, "no " * 12, "a b c " * 4][k % 3].split() + filler(rng.randint(0, 60)))) for k in range(300)]
+    got = {tuple(r) for r in leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), t).collect()}
+    assert got == {(k, k % 3 + 1) for k in range(300)}
+
+
 # ---------------------------------------------------------------- p8
 
 

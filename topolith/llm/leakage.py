@@ -1,15 +1,18 @@
 """Evaluation texts leaking into training text: size-partitioned MinHash containment.
 
 Every run of ``run`` words of a test item is a query; its domain is the set of its
-five-word shingles.  Document texts are cut into passages so long that each run of
-``run`` words lies whole in one, and passages are partitioned by their number of
-shingles.  If a passage holds a query, the query's minimum under a random hash
-function is the passage's minimum with probability |query| / |passage|; each size
-partition uses as many functions as make a miss rarer than ``miss``.  An equal
-minimum makes a candidate, which is verified by exact containment of the run.
-
-The index of the items is broadcast, in blocks of at most ``block_words`` item words, and
-the documents are scanned once per block; documents are never shuffled.
+five-word shingles.  Document texts are the domains that may contain it.  They are partitioned by size: a short text is one
+domain, in the partition of its number of shingles; longer ones are cut into
+passages of the largest partition, so that each run of ``run`` words lies whole in one.  If a domain holds a query, the
+query's minimum under a random hash function is the domain's minimum with probability |query| / |domain|, so each
+partition uses as many functions as make a miss rarer than ``miss``.
+
+The items become an index table (key, item_id), a key being a minimum under its function.  A run with
+repeated words has fewer shingles and would be missed more often, so its shingles are keys of their own.
+The documents are scanned once, however many items there are.  A bitmap of the index keys, of 32 MB at most, goes
+to every task; passages with a key in it leave the scan with their words and are joined
+with the index by shuffle, then with the items, and verified by exact containment of a run.  The bitmap only saves shuffle:
+beyond its size more passages are joined in vain, and none is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import materialize
+
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
 PARTITIONS = (10, 12, 14, 16, 20)  # shingles of a passage, upper ends
@@ -75,120 +81,146 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
-class ItemIndex:
-    """MinHash index of the items' runs and their exact runs."""
+class Sizes:
+    """Size partitions and hash functions, the same for items and documents."""
 
-    def __init__(self, items: list[tuple[int, str]], run: int, miss: float, seed: int = 11):
-        query = run - SHINGLE + 1
-        self.run, self.width = run, PARTITIONS[-1]
-        self.functions = [1 if n <= query else math.ceil(math.log(miss) / math.log(1 - query / n)) for n in PARTITIONS]
+    def __init__(self, run: int, miss: float, seed: int = 11):
+        self.run, self.query, self.width = run, run - SHINGLE + 1, PARTITIONS[-1]
+        self.functions = [1 if n <= self.query else math.ceil(math.log(miss) / math.log(1 - self.query / n)) for n in PARTITIONS]
         rng = np.random.default_rng(seed)
-        most = max(self.functions)
+        most = max(self.functions) + 1  # the last one keys single shingles
         self.mul = rng.integers(0, 2**63, most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.add = rng.integers(0, 2**63, most, dtype=np.uint64)
-        self.runs: dict[tuple[str, ...], set[int]] = {}
-        minima: list[list[np.ndarray]] = [[] for _ in range(most)]
-        hasher, owners = _Hasher(), []
-        for item_id, text in items:
-            words = words_of(text)
-            for at in range(len(words) - run + 1):
-                self.runs.setdefault(tuple(words[at : at + run]), set()).add(item_id)
-            sh = run_hashes(hasher(words), SHINGLE)
-            if len(words) < run:
-                continue
-            windows = np.lib.stride_tricks.sliding_window_view(sh, query)
-            for k in range(most):
-                minima[k].append((windows * self.mul[k] + self.add[k]).min(axis=1))
-            owners.append(item_id)
-        self.minima = [np.unique(np.concatenate(m)) if m else np.empty(0, dtype=np.uint64) for m in minima]
-
-    def hits(self, passages: np.ndarray, partition: int) -> np.ndarray:
-        """Which rows of shingle hashes (one passage each) share a minimum with a query."""
-        hit = np.zeros(len(passages), dtype=bool)
-        for k in range(self.functions[partition]):
-            open_rows = np.flatnonzero(~hit)
-            least = (passages[open_rows] * self.mul[k] + self.add[k]).min(axis=1)
-            known = self.minima[k]
-            place = np.minimum(np.searchsorted(known, least), len(known) - 1)
-            hit[open_rows] = known[place] == least
-        return hit
-
-
-def _scan(index: ItemIndex, docs: list[tuple[int, list[str]]], hasher: _Hasher) -> set[tuple[int, int]]:
-    """(doc_id, item_id) of the verified runs in a group of documents."""
-    width, run = index.width, index.run
-    step = width + SHINGLE - run
-    spans: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        self.tag = rng.integers(0, 2**63, most, dtype=np.uint64)
+
+    def minima(self, domains: np.ndarray, count: int) -> np.ndarray:
+        """Keys of the rows of shingle hashes under the first ``count`` functions, one column each."""
+        out = np.empty((len(domains), count), dtype=np.uint64)
+        for k in range(count):
+            out[:, k] = (domains * self.mul[k] + self.add[k]).min(axis=1) ^ self.tag[k]
+        return out
+
+    def singles(self, shingles: np.ndarray) -> np.ndarray:
+        return (shingles * self.mul[-1] + self.add[-1]) ^ self.tag[-1]
+
+    def item_keys(self, words: list[str], hasher: _Hasher) -> np.ndarray:
+        """Distinct keys of all runs of an item."""
+        sh = run_hashes(hasher(words), SHINGLE)
+        if len(words) < self.run:
+            return np.empty(0, dtype=np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(sh, self.query)
+        ordered = np.sort(windows, axis=1)
+        repeated = windows[(ordered[:, 1:] == ordered[:, :-1]).any(axis=1)]
+        return np.unique(np.concatenate([self.minima(windows, max(self.functions)).ravel(), self.singles(repeated.ravel())]))
+
+
+def bitmap_bits(keys: int) -> int:
+    """Size of the bitmap for a number of keys: 64 times as many bits, 2**16 at least and 2**28 (32 MB) at most."""
+    return 1 << min(28, max(16, math.ceil(math.log2(max(1, keys) * 64))))
+
+
+def key_bitmap(index: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the keys, made in slices of 128 KB by the executors; what reaches the driver has ``bits`` bits at most."""
+    slice_bits = min(bits, 1 << 20)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(slice_bits, dtype=bool)
+        flags[pdf["at"].to_numpy() % slice_bits] = True
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
+
+    at = F.shiftrightunsigned("key", 64 - int(math.log2(bits)))
+    slices = index.select(at.alias("at")).distinct().withColumn("slice", (F.col("at") / slice_bits).cast("int")).groupBy("slice").applyInPandas(mark, "slice int, bits binary")
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for number, raw in slices.collect():
+        out[number * slice_bits // 8 : (number + 1) * slice_bits // 8] = np.frombuffer(raw, dtype=np.uint8)
+    return out
+
+
+def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - int(math.log2(len(bitmap) * 8)))
+    return (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def index_items(items: DataFrame, sizes: Sizes) -> DataFrame:
+    """(key long, item_id)."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher()
+        for batch in batches:
+            for item_id, text in zip(batch["item_id"], batch["text"]):
+                found = sizes.item_keys(words_of(text), hasher)
+                yield pd.DataFrame({"key": found.view(np.int64), "item_id": np.full(len(found), item_id, dtype=np.int64)})
+
+    return items.mapInPandas(keys, "key long, item_id long")
+
+
+def plain_words(items: DataFrame) -> DataFrame:
+    """(item_id, words): the words of an item in one string, with a blank at both ends."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"item_id": batch["item_id"], "words": [" " + " ".join(words_of(t)) + " " for t in batch["text"]]})
+
+    return items.mapInPandas(join, "item_id long, words string")
+
+
+def _positives(sizes: Sizes, bitmap: np.ndarray, docs: list[tuple[int, list[str]]], hasher: _Hasher) -> list[tuple[int, list[str], np.ndarray]]:
+    """(doc_id, words, keys) of the passages of a group of documents that have a key in the bitmap."""
+    step = sizes.width + SHINGLE - sizes.run
+    domains: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for d, (_, words) in enumerate(docs):
         sh = run_hashes(hasher(words), SHINGLE)
-        for at in range(0, max(1, len(words) - run + 1), step):
-            part = sh[at : at + width]
-            size = next(p for p, n in enumerate(PARTITIONS) if len(part) <= n)
-            spans.setdefault(size, []).append((d, at, part))
-    found = set()
-    for size, group in spans.items():
-        n = PARTITIONS[size]
+        for at in range(0, max(1, len(words) - sizes.run + 1), step):
+            part = sh[at : at + sizes.width]
+            domains.setdefault(bisect_left(PARTITIONS, len(part)), []).append((d, at, part))
+    out = []
+    for partition, group in domains.items():
+        n = PARTITIONS[partition]
         matrix = np.stack([p if len(p) == n else np.pad(p, (0, n - len(p)), mode="edge") for _, _, p in group])
-        for row in np.flatnonzero(index.hits(matrix, size)):
+        keys = np.concatenate([sizes.minima(matrix, sizes.functions[partition]), sizes.singles(matrix)], axis=1)
+        hit = in_bitmap(keys, bitmap)
+        for row in np.flatnonzero(hit.any(axis=1)):
             d, at, _ = group[row]
             doc_id, words = docs[d]
-            for k in range(at, min(at + step, len(words) - run + 1)):
-                for item in index.runs.get(tuple(words[k : k + run]), ()):
-                    found.add((doc_id, item))
-    return found
+            out.append((doc_id, words[at : at + step + sizes.run - 1], np.unique(keys[row][hit[row]]).view(np.int64)))
+    return out
 
 
-def leaked(docs: DataFrame, items: DataFrame, run: int = 12, miss: float = 1e-5, block_words: int = 100_000) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, run: int = 12, miss: float = 1e-5) -> DataFrame:
     """(doc_id, item_id): the text of the document holds ``run`` consecutive words of the item.
 
     Null and blank texts match nothing; an item with fewer than ``run`` words cannot be
-    found; repeated item ids count as one item.  Whole texts are read.
+    found; repeated item ids count as one item with all their texts; rows with a null id are left out.  Whole texts are read.
     """
     if not SHINGLE <= run <= PARTITIONS[-1]:
         raise ValueError("run out of range")
-    spark = docs.sparkSession
+    spark, sizes = docs.sparkSession, Sizes(run, miss)
+    wanted = items.select("item_id", "text").where("item_id is not null and text is not null")
+    index = materialize(index_items(wanted, sizes).distinct(), "item-index")
+    shared = spark.sparkContext.broadcast(key_bitmap(index, bitmap_bits(index.count())))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = _Hasher()
+        for batch in batches:
+            found: list[tuple[int, list[str], np.ndarray]] = []
+            group: list[tuple[int, list[str]]] = []
+            held = 0
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                words = words_of(text)
+                if len(words) < run:
+                    continue
+                group.append((doc_id, words))
+                held += len(words)
+                if held > 50_000:
+                    found += _positives(sizes, shared.value, group, hasher)
+                    group, held = [], 0
+            found += _positives(sizes, shared.value, group, hasher) if group else []
+            yield pd.DataFrame(found, columns=["doc_id", "passage", "keys"]).astype({"doc_id": "int64"})
+
     texts = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    parts: list[DataFrame] = []
-
-    def scan_with(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(ItemIndex(block, run, miss))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index, hasher = shared.value, _Hasher()
-            for batch in batches:
-                found: set[tuple[int, int]] = set()
-                group: list[tuple[int, list[str]]] = []
-                held = 0
-                for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                    words = words_of(text)
-                    if len(words) < run:
-                        continue
-                    group.append((doc_id, words))
-                    held += len(words)
-                    if held > 50_000:
-                        found |= _scan(index, group, hasher)
-                        group, held = [], 0
-                if group:
-                    found |= _scan(index, group, hasher)
-                yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"], dtype="int64")
-
-        return texts.mapInPandas(scan, "doc_id long, item_id long")
-
-    block: list[tuple[int, str]] = []
-    size = 0
-    for row in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        n = len(words_of(row["text"]))
-        if block and size + n > block_words:
-            parts.append(scan_with(block))
-            block, size = [], 0
-        if n >= run:
-            block.append((row["item_id"], row["text"]))
-            size += n
-    if block:
-        parts.append(scan_with(block))
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+    passages = texts.mapInPandas(scan, "doc_id long, passage array<string>, keys array<long>")
+    met = passages.select("doc_id", "passage", F.explode("keys").alias("key")).join(index, "key").select("doc_id", "item_id", "passage").distinct()
+    starts = F.sequence(F.lit(1), F.size("passage") - (run - 1))
+    piece = lambda k: F.concat(F.lit(" "), F.array_join(F.slice("passage", k, run), " "), F.lit(" "))
+    holds = F.exists(starts, lambda k: F.col("words").contains(piece(k)))
+    return met.join(plain_words(wanted), "item_id").where(holds).select("doc_id", "item_id").distinct()
