@@ -103,15 +103,18 @@ class Sizes:
     def singles(self, shingles: np.ndarray) -> np.ndarray:
         return (shingles * self.mul[-1] + self.add[-1]) ^ self.tag[-1]
 
-    def item_keys(self, words: list[str], hasher: _Hasher) -> np.ndarray:
-        """Distinct keys of all runs of an item."""
+    def item_keys(self, words: list[str], hasher: _Hasher) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of all runs of an item: minima, and single shingles of the runs with repeated words."""
         sh = run_hashes(hasher(words), SHINGLE)
         if len(words) < self.run:
-            return np.empty(0, dtype=np.uint64)
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
         windows = np.lib.stride_tricks.sliding_window_view(sh, self.query)
         ordered = np.sort(windows, axis=1)
         repeated = windows[(ordered[:, 1:] == ordered[:, :-1]).any(axis=1)]
-        return np.unique(np.concatenate([self.minima(windows, max(self.functions)).ravel(), self.singles(repeated.ravel())]))
+        return np.unique(self.minima(windows, max(self.functions))), np.unique(self.singles(repeated))
+
+
+PROBES = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))  # odd multipliers; the high bits are the place
 
 
 def bitmap_bits(keys: int) -> int:
@@ -120,16 +123,21 @@ def bitmap_bits(keys: int) -> int:
 
 
 def key_bitmap(index: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the keys, made in slices of 128 KB by the executors; what reaches the driver has ``bits`` bits at most."""
-    slice_bits = min(bits, 1 << 20)
+    """Bitmap with three bits of every key, made in slices of 128 KB by the executors; the driver gets ``bits`` bits at most."""
+    slice_bits, shift = min(bits, 1 << 20), np.uint64(64 - int(math.log2(bits)))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["key"].to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([(keys * m) >> shift for m in PROBES])).astype(np.int64)
+            yield pd.DataFrame({"slice": (at // slice_bits).astype(np.int32), "at": at % slice_bits})
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(slice_bits, dtype=bool)
-        flags[pdf["at"].to_numpy() % slice_bits] = True
+        flags[pdf["at"].to_numpy()] = True
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
 
-    at = F.shiftrightunsigned("key", 64 - int(math.log2(bits)))
-    slices = index.select(at.alias("at")).distinct().withColumn("slice", (F.col("at") / slice_bits).cast("int")).groupBy("slice").applyInPandas(mark, "slice int, bits binary")
+    slices = index.select("key").mapInPandas(places, "slice int, at long").groupBy("slice").applyInPandas(mark, "slice int, bits binary")
     out = np.zeros(bits // 8, dtype=np.uint8)
     for number, raw in slices.collect():
         out[number * slice_bits // 8 : (number + 1) * slice_bits // 8] = np.frombuffer(raw, dtype=np.uint8)
@@ -137,21 +145,24 @@ def key_bitmap(index: DataFrame, bits: int) -> np.ndarray:
 
 
 def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - int(math.log2(len(bitmap) * 8)))
-    return (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+    shift, hit = np.uint64(64 - int(math.log2(len(bitmap) * 8))), np.ones(keys.shape, dtype=bool)
+    for m in PROBES:
+        at = (keys[hit] * m) >> shift
+        hit[hit] = (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+    return hit
 
 
 def index_items(items: DataFrame, sizes: Sizes) -> DataFrame:
-    """(key long, item_id)."""
+    """(key long, item_id, single boolean): single tells that the key is a shingle of a run with repeated words."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
         for batch in batches:
             for item_id, text in zip(batch["item_id"], batch["text"]):
-                found = sizes.item_keys(words_of(text), hasher)
-                yield pd.DataFrame({"key": found.view(np.int64), "item_id": np.full(len(found), item_id, dtype=np.int64)})
+                for single, found in enumerate(sizes.item_keys(words_of(text), hasher)):
+                    yield pd.DataFrame({"key": found.view(np.int64), "item_id": np.full(len(found), item_id, dtype=np.int64), "single": bool(single)})
 
-    return items.mapInPandas(keys, "key long, item_id long")
+    return items.mapInPandas(keys, "key long, item_id long, single boolean")
 
 
 def plain_words(items: DataFrame) -> DataFrame:
@@ -164,7 +175,7 @@ def plain_words(items: DataFrame) -> DataFrame:
     return items.mapInPandas(join, "item_id long, words string")
 
 
-def _positives(sizes: Sizes, bitmap: np.ndarray, docs: list[tuple[int, list[str]]], hasher: _Hasher) -> list[tuple[int, list[str], np.ndarray]]:
+def _positives(sizes: Sizes, bitmap: np.ndarray, singles: bool, docs: list[tuple[int, list[str]]], hasher: _Hasher) -> list[tuple[int, list[str], np.ndarray]]:
     """(doc_id, words, keys) of the passages of a group of documents that have a key in the bitmap."""
     step = sizes.width + SHINGLE - sizes.run
     domains: dict[int, list[tuple[int, int, np.ndarray]]] = {}
@@ -177,7 +188,9 @@ def _positives(sizes: Sizes, bitmap: np.ndarray, docs: list[tuple[int, list[str]
     for partition, group in domains.items():
         n = PARTITIONS[partition]
         matrix = np.stack([p if len(p) == n else np.pad(p, (0, n - len(p)), mode="edge") for _, _, p in group])
-        keys = np.concatenate([sizes.minima(matrix, sizes.functions[partition]), sizes.singles(matrix)], axis=1)
+        keys = sizes.minima(matrix, sizes.functions[partition])
+        if singles:
+            keys = np.concatenate([keys, sizes.singles(matrix)], axis=1)
         hit = in_bitmap(keys, bitmap)
         for row in np.flatnonzero(hit.any(axis=1)):
             d, at, _ = group[row]
@@ -197,6 +210,7 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = 12, miss: float = 1e-5)
     spark, sizes = docs.sparkSession, Sizes(run, miss)
     wanted = items.select("item_id", "text").where("item_id is not null and text is not null")
     index = materialize(index_items(wanted, sizes).distinct(), "item-index")
+    singles = not index.where("single").isEmpty()
     shared = spark.sparkContext.broadcast(key_bitmap(index, bitmap_bits(index.count())))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,9 +226,9 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = 12, miss: float = 1e-5)
                 group.append((doc_id, words))
                 held += len(words)
                 if held > 50_000:
-                    found += _positives(sizes, shared.value, group, hasher)
+                    found += _positives(sizes, shared.value, singles, group, hasher)
                     group, held = [], 0
-            found += _positives(sizes, shared.value, group, hasher) if group else []
+            found += _positives(sizes, shared.value, singles, group, hasher) if group else []
             yield pd.DataFrame(found, columns=["doc_id", "passage", "keys"]).astype({"doc_id": "int64"})
 
     texts = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
