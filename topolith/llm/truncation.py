@@ -1,14 +1,16 @@
 """Text cut off by field limits: length hazards, then incomplete endings.
 
-1. Per source and unit (characters, UTF-8 bytes, characters modulo a transfer block) the discrete
+1. Per source and unit (characters, UTF-8 bytes, characters modulo a block size) the discrete
    hazard of ending at a length is computed by window functions and tested against the
    hazards of the neighbouring lengths.  The Chernoff bound of the binomial tail serves as p-value
    (it is never too small), with Benjamini-Hochberg control per source and unit.
 2. An ending model says how much likelier an ending is for a cut text than for a whole one.  It
-   needs no labels: whole texts of a bounded sample and the same texts cut at random places.
-3. A text is cut if the odds of its ending times the prior odds exceed one.  The prior at
-   a significant length is the share of texts there beyond what the neighbours explain;
-   elsewhere (transfers broken off anywhere) it is the share per source that the model itself finds.
+   needs no labels.  How often words and word pairs occur, and how often a break follows, is counted over
+   all texts; the weights are fitted on a bounded sample of whole texts and the same texts cut at random, and the
+   scores are calibrated by those of all texts.
+3. A text is cut if the odds of its ending times the prior odds exceed one.  The prior at a significant length is the
+   share of texts there beyond what the neighbours explain, or the most likely share of cut endings there if that is less, as stock
+   answers have lengths of their own too.  Elsewhere (transfers broken off anywhere) it is the most likely share of the source.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
 
-BLOCKS = (256, 1000, 1024)
+# Sizes of transfer blocks that are tested: the powers of two, and 1, 2 and 5 times the powers of ten.
+BLOCKS = tuple(sorted([1 << k for k in range(7, 17)] + [m * 10**k for k in range(2, 5) for m in (1, 2, 5)]))
 DIMS = 1 << 18
+KEY_SHARE = 2e-6  # words and pairs with at least this share of all counts are kept, half a million at most
 TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
 BREAK = re.compile(r"[.!?:;\n]")
 
@@ -40,58 +44,59 @@ def length_hazards(lengths: DataFrame, reach: int = 15) -> DataFrame:
     """Hazard of every (source, unit, len) against its neighbours.
 
     ``lengths``: ``source, unit, len, n``.  Returns also ``at_risk, expected, p``.
-    ``expected`` is what the ``reach`` lengths on either side suggest, plus a half.
+    ``expected`` is what the ``reach`` lengths on either side suggest, plus a half.  Where the neighbours themselves scatter
+    more than chance, as among one-line answers, the evidence is divided by their spread (mean squared deviation over expectation).
     """
     by = Window.partitionBy("source", "unit").orderBy("len")
     near = by.rangeBetween(-reach, reach)
     risk = lengths.withColumn("at_risk", F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing)))
     rate = (F.sum("n").over(near) - F.col("n") + 0.5) / (reach * (F.max("at_risk").over(near) + F.min("at_risk").over(near)))
-    r = risk.withColumn("rate", F.least(rate, F.lit(1.0)))
-    h, q = F.col("n") / F.col("at_risk"), F.col("rate")
+    q, h = F.col("rate"), F.col("n") / F.col("at_risk")
+    r = risk.withColumn("rate", F.least(rate, F.lit(1.0))).withColumn("expected", F.col("at_risk") * q)
+    off = F.pow(F.col("n") - F.col("expected"), F.lit(2)) / F.col("expected")
+    r = r.withColumn("off", off).withColumn("spread", F.greatest(F.lit(1.0), (F.sum("off").over(near) - F.col("off")) / (2 * reach)))
     other = F.when(h < 1, (1 - h) * F.log((1 - h) / (1 - q))).otherwise(0.0)
     kl = F.when((h > q) & (q < 1), h * F.log(h / q) + other).otherwise(0.0)
-    return r.select("source", "unit", "len", "n", "at_risk", (F.col("at_risk") * q).alias("expected"), F.exp(-F.col("at_risk") * kl).alias("p"))
+    return r.select("source", "unit", "len", "n", "at_risk", "expected", F.exp(-F.col("at_risk") * kl / F.col("spread")).alias("p"))
 
 
-def significant_lengths(hazards: DataFrame, fdr: float = 0.001, least: int = 5, excess: float = 3.0) -> DataFrame:
+def significant_lengths(hazards: DataFrame, fdr: float = 0.001) -> DataFrame:
     """Lengths whose hazard stands out, with ``share``, the part of their texts the neighbours don't explain."""
     by = Window.partitionBy("source", "unit")
     ranked = hazards.withColumn("rank", F.row_number().over(by.orderBy("p", "len"))).withColumn("tests", F.count(F.lit(1)).over(by))
     last = F.max(F.when(F.col("p") <= fdr * F.col("rank") / F.col("tests"), F.col("rank"))).over(by)
-    kept = ranked.withColumn("last", last).where((F.col("rank") <= F.col("last")) & (F.col("n") >= least) & (F.col("n") > excess * F.col("expected")))
+    kept = ranked.withColumn("last", last).where(F.col("rank") <= F.col("last"))
     return kept.select("source", "unit", "len", "n", "expected", "p", (1 - F.col("expected") / F.col("n")).alias("share"))
 
 
 # ---------------------------------------------------------------- endings
 
 
+def counted(text: str) -> Iterator[tuple[str, bool]]:
+    """Every word and word pair of a text, and whether a break follows; the last word is left out, as what follows it is unknown."""
+    low, before = text.lower(), ""
+    found = list(TOKEN.finditer(low))
+    for k, m in enumerate(found[:-1]):
+        w, stop = _mask(m.group()), bool(BREAK.search(low, m.end(), found[k + 1].start()))
+        yield w, stop
+        yield before + " " + w, stop
+        before = "" if stop else w
+
+
 @dataclass
 class Lexicon:
-    """How often words and word pairs of the sample stand before more text or before a break."""
+    """How often words and word pairs stand before more text or before a break."""
 
-    word: Counter = field(default_factory=Counter)
-    brk: Counter = field(default_factory=Counter)
+    word: dict[str, int] = field(default_factory=dict)
+    brk: dict[str, int] = field(default_factory=dict)
     prefix: Counter = field(default_factory=Counter)
 
-    def learn(self, text: str) -> None:
-        low, before = text.lower(), ""
-        found = list(TOKEN.finditer(low))
-        for k, m in enumerate(found):
-            end = m.end()
-            gap = low[end : found[k + 1].start()] if k + 1 < len(found) else "\n"
-            w, stop = _mask(m.group()), bool(BREAK.search(gap))
-            for key in (w, before + " " + w):
-                self.word[key] += 1
-                self.brk[key] += stop
-            before = "" if stop else w
-
-    def close(self, least: int = 3) -> None:
-        self.word = Counter({w: c for w, c in self.word.items() if c >= least})
-        self.brk = Counter({w: c for w, c in self.brk.items() if w in self.word and c})
+    def close(self) -> Lexicon:
         for w, c in self.word.items():
             head, _, tail = w.rpartition(" ")
             for k in range(1, len(tail)):
                 self.prefix[(head + " " if head else "") + tail[:k]] += c
+        return self
 
     def state(self, key: str) -> str:
         n = self.word.get(key, 0)
@@ -102,6 +107,39 @@ class Lexicon:
         return f"{max(-5, min(5, round(odds)))}{'p' if held else ''}"
 
 
+def lexicon(texts: DataFrame, least: int = 3) -> Lexicon:
+    """Counts over all ``texts(text)``, combined in each task and then by key.
+
+    Keys below ``KEY_SHARE`` of all counts, or below ``least``, are left out, so the driver gets at most 1 / KEY_SHARE keys.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        b: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame({"key": list(n), "n": list(n.values()), "b": [b[k] for k in n]})
+            n.clear()
+            b.clear()
+            return out
+
+        for batch in batches:
+            for text in batch["text"]:
+                for key, stop in counted(text):
+                    n[key] += 1
+                    if stop:
+                        b[key] += 1
+                if len(n) > 300_000:
+                    yield rows()
+        yield rows()
+
+    counts = texts.select("text").mapInPandas(count, "key string, n long, b long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    counts = materialize(counts, "lexicon")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    kept = counts.where(F.col("n") >= max(least, math.ceil(total * KEY_SHARE))).toPandas()
+    return Lexicon(dict(zip(kept["key"], kept["n"].tolist())), dict(zip(kept["key"], kept["b"].tolist()))).close()
+
+
 def _mask(word: str) -> str:
     return re.sub(r"\d+", "0", word)
 
@@ -149,13 +187,14 @@ def ending_features(text: str, lex: Lexicon) -> list[int]:
 
 @dataclass
 class EndingModel:
-    """Logistic regression over hashed ending features."""
+    """Logistic regression over hashed ending features, and its scores of held-out texts cut at random."""
 
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
+    cut_scores: np.ndarray = field(default_factory=lambda: np.empty(0))
 
-    def log_odds(self, text: str) -> float:
+    def score(self, text: str) -> float:
         return float(self.weights[ending_features(text, self.lexicon)].sum() + self.bias)
 
 
@@ -169,16 +208,11 @@ def at_seam(part: str, rest: str) -> bool:
     return rest[:1] == "\n" or part[-1:] == "\n"
 
 
-def fit_endings(texts: list[str], cuts: int = 2, epochs: int = 6, seed: int = 5) -> EndingModel:
-    """Fit on whole texts and on the same texts cut at random; classes are weighted alike.
+def _examples(texts: list[str], lex: Lexicon, cuts: int, rng: np.random.Generator) -> tuple[list[list[int]], np.ndarray]:
+    """Features of whole texts (0) and of the same texts cut at random (1), cuts at a seam (``at_seam``) left out.
 
-    Cuts at a seam (``at_seam``) are left out.  A few of the cuts get the ellipsis that some exporters put in place of the rest.
+    A few of the cuts get the ellipsis that some exporters put in place of the rest.
     """
-    rng = np.random.default_rng(seed)
-    lex = Lexicon()
-    for t in texts:
-        lex.learn(t)
-    lex.close()
     rows, label = [], []
     for t in texts:
         rows.append(ending_features(t, lex))
@@ -195,7 +229,14 @@ def fit_endings(texts: list[str], cuts: int = 2, epochs: int = 6, seed: int = 5)
                 part = part[:-3] + "..." if draw < 0.09 else part[:-1] + "…"
             rows.append(ending_features(part, lex))
             label.append(1.0)
-    y = np.array(label)
+    return rows, np.array(label)
+
+
+def fit_endings(texts: list[str], lex: Lexicon, cuts: int = 2, epochs: int = 6, seed: int = 5) -> EndingModel:
+    """Fit on four fifths of the texts, classes weighted alike, and score the rest cut at random."""
+    rng = np.random.default_rng(seed)
+    held = len(texts) // 5
+    rows, y = _examples(texts[held:], lex, cuts, rng)
     if not len(rows) or y.min() == y.max():
         return EndingModel(lex, np.zeros(DIMS, dtype=np.float32), -20.0)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -217,7 +258,35 @@ def fit_endings(texts: list[str], cuts: int = 2, epochs: int = 6, seed: int = 5)
             g2[seen] += g * g
             w[seen] -= 0.1 * g / np.sqrt(g2[seen])
             b -= 0.05 * err.sum()
-    return EndingModel(lex, w.astype(np.float32), float(b))
+    model = EndingModel(lex, w.astype(np.float32), float(b))
+    rows, y = _examples(texts[:held], lex, cuts, rng)
+    model.cut_scores = np.array([w[r].sum() + b for r, cut in zip(rows, y) if cut])
+    return model
+
+
+BINS = 80  # scores are counted in steps of a quarter, from -20 to 20
+
+
+def calibrated(seen: np.ndarray, cut_scores: np.ndarray, top: float = 0.2) -> np.ndarray:
+    """Log odds of a cut for every bin of scores, rising, from the bin counts of unlabelled texts and the scores of cut ones.
+
+    The unlabelled texts hold a share of cut ones, so the model, fitted as if they were whole, is too timid where it is surest.  The
+    share is at most the ratio of the tails of both distributions, and next to it where whole texts have died out: it is taken as the
+    least ratio of all tails with at least ``top`` of the cut scores.  What is left of the unlabelled texts without that share are the whole ones.
+    """
+    cut = np.bincount(np.clip(np.round(cut_scores * 4), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
+    f1, f = (cut + 1e-3) / (cut.sum() + 1e-3 * len(cut)), (seen + 1e-3) / (seen.sum() + 1e-3 * len(seen))
+    tail1, tail = f1[::-1].cumsum()[::-1], f[::-1].cumsum()[::-1]
+    share = float((tail / tail1)[tail1 >= top].min())
+    whole = np.maximum(f - share * f1, 0.5 / max(1, seen.sum())) / (1 - share) if share < 1 else f
+    # Pool adjacent bins until the odds rise with the score.
+    blocks: list[list[float]] = []
+    for a, b in zip(f1, whole):
+        blocks.append([a, b, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            a2, b2, n2 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + a2, blocks[-1][1] + b2, blocks[-1][2] + n2]
+    return np.concatenate([np.full(int(n), math.log(a / b)) for a, b, n in blocks])
 
 
 def score_endings(texts: DataFrame, model: EndingModel) -> DataFrame:
@@ -228,7 +297,7 @@ def score_endings(texts: DataFrame, model: EndingModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             out = batch[["doc_id", "source", "chars", "bytes"]].copy()
-            out["ending"] = [m.log_odds(t) for t in batch["text"]]
+            out["ending"] = [m.score(t) for t in batch["text"]]
             yield out
 
     return texts.select("doc_id", "source", "chars", "bytes", "text").mapInPandas(score, "doc_id long, source string, chars int, bytes int, ending double")
@@ -238,75 +307,131 @@ def score_endings(texts: DataFrame, model: EndingModel) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, chars, bytes, text) of the non-blank texts; a null source is ''."""
-    return docs.where(F.col("text").rlike(r"(?U)\S")).select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "text"
+    """(doc_id, source, lang, chars, bytes, tail) of the non-blank texts: all that limits need, without the texts.
+
+    A null source is ''; ``tail`` are the last 12 characters.
+    """
+    lang = F.lower(F.trim(F.coalesce("lang", F.lit("")))) if "lang" in docs.columns else F.lit("")
+    return docs.where(_filled()).select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), lang.alias("lang"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.right("text", F.lit(12)).alias("tail"),
     )
 
 
-def _units(texts: DataFrame, slack: int, *keep: str) -> DataFrame:
-    """One row per text and length it may have been cut at: ``keep, source, unit, len, off``.
+def _filled() -> Column:
+    return F.col("text").rlike(r"(?U)\S")
 
-    A byte limit drops the rest of a character that does not fit, so the limit may be up to
-    ``slack`` bytes above the length.
-    """
-    entry = lambda unit, length, off: F.struct(F.lit(unit).alias("unit"), length.cast("int").alias("len"), F.lit(off).alias("off"))
-    whole = [entry("chars", F.col("chars"), 0)]
-    whole += [entry("bytes", F.col("bytes") + k, k) for k in range(slack + 1)]
-    # The block border lies in the middle of the residues, so that it has neighbours on both sides.
-    whole += [F.when(F.col("chars") > b // 2, entry(f"chars%{b}", F.pmod(F.col("chars") + b // 2, F.lit(b)), 0)) for b in BLOCKS]
-    return texts.select(*keep, "source", F.explode(F.array_compact(F.array(*whole))).alias("u")).select(*keep, "source", "u.*")
+
+def _residue(block: Column) -> Column:
+    """A length modulo a block size, moved so that the border of the block lies in the middle and has neighbours on both sides."""
+    return F.pmod(F.col("len") + F.floor(block / 2).cast("int"), block)
 
 
-def find_limits(texts: DataFrame, fdr: float = 0.001, shortest: int = 40) -> DataFrame:
-    """Significant lengths per source and unit (see ``significant_lengths``).
+def find_limits(sizes: DataFrame, fdr: float = 0.001) -> DataFrame:
+    """Significant lengths per source and unit (see ``significant_lengths``), of ``measured`` texts.
 
     Texts with the same last 12 characters count once per length: a limit cuts at random places, while
-    copies and stock phrases of one length all end alike.  Lengths below ``shortest`` hold one-line texts
-    of a few fixed lengths and are not tested; no text field is that short.
+    copies and stock phrases of one length all end alike.  Blocks are counted from the table of lengths, without
+    the lengths that are significant by themselves.
     """
-    long = texts.where((F.col("chars") >= shortest) & (F.col("bytes") >= shortest))
-    ends = _units(long.withColumn("tail", F.right("text", F.lit(12))), 0, "tail").distinct()
-    counts = ends.groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("n"))
-    found = significant_lengths(length_hazards(counts), fdr)
-    border = F.when(F.col("unit").startswith("chars%"), F.regexp_extract("unit", r"(\d+)", 1).cast("int") / 2)
-    return found.where(border.isNull() | (F.col("len") == border))
-
-
-def truncated(
-    docs: DataFrame, sample_rows: int = 6000, fdr: float = 0.001, first_guess: float = 0.01, slack: int = 3,
-    sharpness: float = 2.0, limit_prior: float = 0.75,
-) -> DataFrame:
+    unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len"))))
+    ends = sizes.select("source", "tail", unit.alias("u")).select("source", "tail", "u.*").distinct()
+    counts = materialize(ends.groupBy("source", "unit", "len").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    single = materialize(significant_lengths(length_hazards(counts), fdr), "single-limits")
+    rest = counts.where("unit = 'chars'").join(single, ["source", "unit", "len"], "left_anti")
+    rest = rest.select("source", "len", "n", F.explode(F.array(*[F.lit(b) for b in BLOCKS])).alias("b")).where(F.col("len") > F.floor(F.col("b") / 2))
+    blocks = rest.select("source", F.concat(F.lit("chars%"), "b").alias("unit"), _residue(F.col("b")).cast("int").alias("len"), "n").groupBy("source", "unit", "len").agg(F.sum("n").alias("n"))
+    found = significant_lengths(length_hazards(blocks), fdr)
+    # The border of a block is its middle residue.
+    return single.unionByName(found.where(F.col("len") == F.floor(F.regexp_extract("unit", r"(\d+)", 1).cast("int") / 2)))
+
+
+def _at_limits(sizes: DataFrame, limits: DataFrame, slack: int) -> DataFrame:
+    """(doc_id, source, unit, len, share) of the texts at a significant length of their source.
+
+    A byte limit drops the rest of a character that does not fit, so it may be up to ``slack`` bytes above the length.  A
+    text without a source takes the limits of all.
+    """
+    blocks = sorted(int(r[0][6:]) for r in limits.where(F.col("unit").startswith("chars%")).select("unit").distinct().collect())  # BLOCKS at most
+    entry = lambda unit, length: F.struct(F.lit(unit).alias("unit"), length.cast("int").alias("len"))
+    places = [entry("chars", F.col("chars"))] + [entry("bytes", F.col("bytes") + k) for k in range(slack + 1)]
+    places += [F.when(F.col("chars") > b // 2, entry(f"chars%{b}", F.pmod(F.col("chars") + b // 2, F.lit(b)))) for b in blocks]
+    pooled = limits.groupBy("unit", "len").agg(F.max("share").alias("share")).select(F.lit("").alias("source"), "unit", "len", "share")
+    every = limits.where("source <> ''").select("source", "unit", "len", "share").union(pooled)
+    rows = sizes.select("doc_id", "source", F.explode(F.array_compact(F.array(*places))).alias("u")).select("doc_id", "source", "u.*")
+    return rows.join(every, ["source", "unit", "len"]).select("doc_id", "source", "unit", "len", "share")
+
+
+def sample_ids(sizes: DataFrame, at: DataFrame, rows: int, most_bytes: int = 48 << 20) -> DataFrame:
+    """(doc_id) of about ``rows`` texts away from every limit, ``most_bytes`` in all at most.
+
+    Sources and languages share four fifths by their size and the rest alike; a text is taken if the hash of its id
+    is below the rate of its source and language, so the choice is the same however rows are spread.
+    """
+    strata = materialize(sizes.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")), "strata")
+    total = strata.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).first()
+    alone = rows * (0.8 * F.col("n") / (total["all"] or 1) + 0.2 / max(1, total["kinds"]))
+    rates = strata.select("source", "lang", (alone / F.col("n")).alias("rate"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    picked = sizes.select("doc_id", "source", "lang", "bytes", h.alias("h")).join(rates, ["source", "lang"]).where("h < rate").join(at, "doc_id", "left_anti")
+    few = materialize(picked.orderBy("h", "doc_id").limit(2 * rows), "sample")
+    running = F.sum("bytes").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over 2 * rows rows at most
+    return few.withColumn("running", running).where(F.col("running") <= most_bytes).select("doc_id")
+
+
+def cut_share(endings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, cut_share): the most likely share of cut texts in each group, from the log odds ``ending`` of its texts.
+
+    The likelihood of a share q, the product of 1 - q + q * odds, has one maximum, at 0 if the mean of the odds is at most 1.
+    Log odds are counted in steps of a quarter from -20 to 20, so a group of any size is a short table.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, gain = pdf["n"].to_numpy(dtype=float), np.exp(pdf["bin"].to_numpy() / 4.0) - 1
+        low, high = 0.0, 1.0
+        if (n * gain).sum() <= 0:
+            high = 0.0
+        for _ in range(40):
+            q = (low + high) / 2
+            low, high = (q, high) if (n * gain / (1 + q * gain)).sum() > 0 else (low, q)
+        return pdf[list(keys)].iloc[:1].assign(cut_share=(low + high) / 2)
+
+    step = F.greatest(F.lit(-80), F.least(F.lit(80), F.round(F.col("ending") * 4))).cast("int")
+    counts = endings.groupBy(*keys, step.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    schema = ", ".join(f"{k} {endings.schema[k].dataType.simpleString()}" for k in keys) + ", cut_share double"
+    return counts.groupBy(*keys).applyInPandas(solve, schema)
+
+
+def truncated(docs: DataFrame, sample_rows: int = 6000, fdr: float = 0.001, slack: int = 3) -> DataFrame:
     """(doc_id, source, chars, bytes, at_limit, probability) of the texts found to be cut.
 
     Null and blank texts are no case.  A null source is named '' and takes the limits
-    of all sources.  ``sample_rows`` bounds the texts the ending model is fitted on; everything
-    else reads all rows.  ``sharpness`` scales the model's log odds, which a few epochs
-    leave too small; ``limit_prior`` caps the prior at a limit, where whole texts may lie too.
+    of all sources.  ``sample_rows`` bounds the texts the weights of the ending model are fitted on; everything
+    else reads all rows.  ``at_limit`` tells texts at a significant length from those the model alone finds.
     """
-    texts = measured(docs)
-    limits = materialize(find_limits(texts, fdr), "limits")
-    pooled = limits.groupBy("unit", "len").agg(F.max("share").alias("share")).select(F.lit("").alias("source"), "unit", "len", "share")
-    every = limits.where("source <> ''").select("source", "unit", "len", "share").union(pooled)
-    hits = materialize(_units(texts, slack, "doc_id").join(every, ["source", "unit", "len"]).select("doc_id", "source", "unit", "len", "share"), "at-limit")
+    sizes = materialize(measured(docs), "sizes")
+    limits = materialize(find_limits(sizes, fdr), "limits")
+    hits = materialize(_at_limits(sizes, limits, slack), "at-limit")
     at = hits.select("doc_id").distinct()
-    # Whole texts to learn from: away from every limit, least hash of the id, so the same however rows are spread.
-    away = texts.select("doc_id", "text").join(at, "doc_id", "left_anti").select("text", F.xxhash64("doc_id").alias("h"))
-    sample = [r[0] for r in away.orderBy("h", "text").limit(sample_rows).select("text").collect()]
-    scored = materialize(score_endings(texts, fit_endings(sample)), "endings")
-    # Prior away from limits: the share of texts per source that the model finds cut, by two rounds of EM.
-    odds = F.exp(F.col("ending") * sharpness)
+    texts = docs.where(_filled()).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "text")
+    chosen = materialize(sample_ids(sizes, at, sample_rows), "sample-ids")
+    sample = [r[0] for r in texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").orderBy("doc_id").select("text").collect()]
+    model = fit_endings(sample, lexicon(texts))
+    raw = materialize(score_endings(texts, model).withColumn("bin", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.round(F.col("ending") * 4))).cast("int")), "endings")
+    counts = raw.join(at, "doc_id", "left_anti").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = np.zeros(2 * BINS + 1)
+    for k, n in counts:
+        seen[k + BINS] = n
+    log_odds = calibrated(seen, model.cut_scores) if len(model.cut_scores) else np.full(2 * BINS + 1, -20.0)
+    scored = raw.withColumn("ending", F.element_at(F.array(*[F.lit(float(x)) for x in log_odds]), F.col("bin") + BINS + 1))
+    at_limit = hits.join(scored.select("doc_id", "ending"), "doc_id")
+    real = materialize(cut_share(at_limit, "source", "unit", "len").withColumnRenamed("cut_share", "seen"), "limit-shares")
+    of_text = at_limit.join(real, ["source", "unit", "len"]).groupBy("doc_id").agg(F.max(F.least("share", "seen")).alias("limit_prior"))
+    base = cut_share(scored.join(at, "doc_id", "left_anti"), "source").withColumnRenamed("cut_share", "prior")
+    odds = F.exp(F.least("ending", F.lit(50.0)))
     post = lambda prior: prior * odds / (prior * odds + 1 - prior)
-    free = materialize(scored.join(at, "doc_id", "left_anti"), "free")
-    base = free.groupBy("source").agg(F.avg(post(F.lit(first_guess))).alias("p0"))
-    base = free.join(base, "source").groupBy("source").agg(F.avg(post(F.col("p0"))).alias("base"))
-    # A length at which few endings look cut is no limit; elsewhere the share of such endings bounds the prior.
-    looks = hits.join(scored.select("doc_id", "ending"), "doc_id").groupBy("source", "unit", "len").agg(F.avg(post(F.lit(0.5))).alias("looks"))
-    real = hits.join(looks.where("looks >= 0.3"), ["source", "unit", "len"]).groupBy("doc_id").agg(F.max(F.least("share", "looks")).alias("share"))
-    base = base.select("source", F.greatest(F.least("base", F.lit(0.3)), F.lit(0.005)).alias("base"))
-    prior = F.when(F.col("share").isNotNull(), F.least("share", F.lit(limit_prior))).otherwise(F.coalesce("base", F.lit(0.005)))
-    judged = scored.join(real, "doc_id", "left").join(base, "source", "left").withColumn("probability", post(prior))
-    return judged.where("probability > 0.5").select("doc_id", "source", "chars", "bytes", F.col("share").isNotNull().alias("at_limit"), "probability")
+    prior = F.greatest(F.coalesce("limit_prior", F.lit(0.0)), F.coalesce("prior", F.lit(0.0)))
+    judged = scored.join(of_text, "doc_id", "left").join(base, "source", "left").withColumn("probability", post(prior))
+    return judged.where("probability > 0.5").select("doc_id", "source", "chars", "bytes", F.col("limit_prior").isNotNull().alias("at_limit"), "probability")
 
 
 def truncation_by_source(docs: DataFrame, found: DataFrame) -> DataFrame:
