@@ -267,17 +267,18 @@ def fit_endings(texts: list[str], lex: Lexicon, cuts: int = 2, epochs: int = 6,
 BINS = 80  # scores are counted in steps of a quarter, from -20 to 20
 
 
-def calibrated(seen: np.ndarray, cut_scores: np.ndarray, top: float = 0.2) -> np.ndarray:
+def calibrated(seen: np.ndarray, cut_scores: np.ndarray) -> np.ndarray:
     """Log odds of a cut for every bin of scores, rising, from the bin counts of unlabelled texts and the scores of cut ones.
 
-    The unlabelled texts hold a share of cut ones, so the model, fitted as if they were whole, is too timid where it is surest.  The
-    share is at most the ratio of the tails of both distributions, and next to it where whole texts have died out: it is taken as the
-    least ratio of all tails with at least ``top`` of the cut scores.  What is left of the unlabelled texts without that share are the whole ones.
+    The unlabelled texts hold a share of cut ones, so the model, fitted as if they were whole, is too timid where it is surest.  Beyond
+    the median score of the cut texts the whole ones have died out, so the share is the ratio of both distributions' tails
+    there.  What is left of the unlabelled texts without that share are the whole ones.
     """
     cut = np.bincount(np.clip(np.round(cut_scores * 4), -BINS, BINS).astype(int) + BINS, minlength=2 * BINS + 1)
     f1, f = (cut + 1e-3) / (cut.sum() + 1e-3 * len(cut)), (seen + 1e-3) / (seen.sum() + 1e-3 * len(seen))
     tail1, tail = f1[::-1].cumsum()[::-1], f[::-1].cumsum()[::-1]
-    share = float((tail / tail1)[tail1 >= top].min())
+    median = int(np.flatnonzero(tail1 >= 0.5)[-1])
+    share = float(tail[median] / tail1[median])
     whole = np.maximum(f - share * f1, 0.5 / max(1, seen.sum())) / (1 - share) if share < 1 else f
     # Pool adjacent bins until the odds rise with the score.
     blocks: list[list[float]] = []
@@ -425,7 +426,9 @@ def truncated(docs: DataFrame, sample_rows: int = 6000, fdr: float = 0.001, slac
     scored = raw.withColumn("ending", F.element_at(F.array(*[F.lit(float(x)) for x in log_odds]), F.col("bin") + BINS + 1))
     at_limit = hits.join(scored.select("doc_id", "ending"), "doc_id")
     real = materialize(cut_share(at_limit, "source", "unit", "len").withColumnRenamed("cut_share", "seen"), "limit-shares")
-    of_text = at_limit.join(real, ["source", "unit", "len"]).groupBy("doc_id").agg(F.max(F.least("share", "seen")).alias("limit_prior"))
+    # A length alone makes no case: at even odds at most, an ending that is likelier whole than cut is none.
+    limit_prior = F.max(F.least("share", "seen", F.lit(0.5))).alias("limit_prior")
+    of_text = at_limit.join(real, ["source", "unit", "len"]).groupBy("doc_id").agg(limit_prior)
     base = cut_share(scored.join(at, "doc_id", "left_anti"), "source").withColumnRenamed("cut_share", "prior")
     odds = F.exp(F.least("ending", F.lit(50.0)))
     post = lambda prior: prior * odds / (prior * odds + 1 - prior)
