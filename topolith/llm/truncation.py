@@ -118,7 +118,7 @@ def lexicon(texts: DataFrame, least: int = 3) -> Lexicon:
         b: Counter = Counter()
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame({"key": list(n), "n": list(n.values()), "b": [b[k] for k in n]})
+            out = pd.DataFrame({"key": list(n), "n": list(n.values()), "b": [b[k] for k in n]}).astype({"key": "str", "n": "int64", "b": "int64"})
             n.clear()
             b.clear()
             return out
