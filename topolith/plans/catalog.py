@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries, graph_queries, match_queries, store_queries
+from . import feature_queries, graph_queries, match_queries, report_queries, store_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "feature_queries", "graph_queries", "match_queries", "store_queries"]
+__all__ = ["ORACLES", "QUERIES", "feature_queries", "graph_queries", "match_queries", "report_queries", "store_queries"]

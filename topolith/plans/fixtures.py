@@ -7,9 +7,12 @@ instruction.  Both sides derive them by the same rules, whole tables each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.facts import Facts, conform
+from ..workspace import materialize
+
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
@@ -119,6 +122,74 @@ LOOPS_SQL = """loops AS (SELECT l_linenumber::BIGINT AS start, trunc(l_quantity)
  ((1 + l_suppkey % 3) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)::BIGINT AS step, ['<', '<=', '>', '>=', '!='][(l_partkey % 5 + 1)::INT] AS op FROM lineitem)"""
 
 
+def programs(spark: SparkSession, d: str, changed: bool = False) -> Facts:
+    """One function of four blocks per order: a chain of operations and calls, then a counted loop.
+
+    Block 0 holds a line item per instruction, each using the one before, the first the parameter.  Block 1 is the
+    header of a loop: a phi from a constant (or, in odd orders, the parameter), a comparison with a constant and a branch; block
+    2 steps the counter; block 3 returns the end of the chain.  The changed version has other register names and, for orders of status F,
+    another first operation.
+    """
+    mark = F.lit("n" if changed else "t")
+    other = F.lit(changed) & (F.col("o_orderstatus") == "F")
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("func_id"), "o_orderstatus").dropDuplicates(["func_id"])
+    items = materialize(instrs(spark, d).join(orders, "func_id").select("func_id", F.col("pos").cast("int").alias("pos"), "kind", "op", "call_sig", "const_int", "o_orderstatus"), "program-items")
+    heads = materialize(items.groupBy("func_id", "o_orderstatus").agg(F.max("pos").alias("n")), "program-heads")
+    k = F.col("func_id")
+    reg = lambda x: F.concat(mark, x)
+    text = lambda x: F.lit(x).cast("string")
+
+    def instr(rows: DataFrame, block: int, pos: Column, name: Column, kind: Column, op: Column, kind_type: str | None, shown: Column) -> DataFrame:
+        return rows.select("func_id", F.lit(block).alias("block_idx"), pos.alias("pos"), name.alias("instr_id"), kind.alias("kind"), op.alias("op"), text(kind_type).alias("value_type"), shown.alias("text"))
+
+    def operand(rows: DataFrame, owner: Column, slot: int, role: str, kind: Column, ref: Column, number: Column, typed: str = "int") -> DataFrame:
+        const = F.when(kind == "const", "int")
+        return rows.select("func_id", owner.alias("instr_id"), F.lit(slot).alias("slot"), F.lit(role).alias("slot_role"), kind.alias("ref_kind"), ref.alias("ref_id"), const.alias("const_kind"), number.cast("string").alias("const_int"), F.lit(typed).alias("value_type"))
+
+    call = F.col("kind") == "Call"
+    target = F.when(other & (F.col("pos") == 1), "q.other").otherwise(F.col("call_sig"))
+    op = F.when(other & (F.col("pos") == 1), "-").otherwise(F.col("op"))
+    chain = instr(items, 0, F.col("pos"), reg(F.col("pos")), F.when(call, "Call").otherwise("BinOp"), F.when(call, "").otherwise(op), "int", F.when(call, F.concat(F.lit("call "), target)).otherwise(F.concat(op, F.lit(" int"))))
+    chain = chain.join(items.select("func_id", "pos", F.when(call, "static").alias("call_mode"), F.when(call, target).alias("call_target")), ["func_id", "pos"])
+    fixed = lambda block, pos, name, kind, op, kind_type, shown: instr(heads, block, F.lit(pos), reg(F.lit(name)), F.lit(kind), op, kind_type, F.lit(shown))
+    test = F.element_at(F.array(*[F.lit(x) for x in LOOP_TESTS]), (k % 5 + 1).cast("int"))
+    rest = [
+        instr(heads, 0, F.col("n") + 1, reg(F.lit("j0")), F.lit("Jump"), F.lit(""), None, F.lit("jump 1")), fixed(1, 0, "i", "Phi", F.lit(""), "int", "phi"), fixed(1, 1, "c", "BinOp", test, "bool", "compare"),
+        fixed(1, 2, "if", "If", F.lit(""), None, "if"), fixed(2, 0, "s", "BinOp", F.lit("+"), "int", "+ int"), fixed(2, 1, "j2", "Jump", F.lit(""), None, "jump 1"), fixed(3, 0, "r", "Return", F.lit(""), None, "return"),
+    ]
+    for r in rest:
+        chain = chain.unionByName(r, allowMissingColumns=True)
+    first, odd = F.col("pos") == 1, k % 2 == 1
+    none = text(None)
+    ops = operand(items, reg(F.col("pos")), 0, "x", F.when(first, "param").otherwise("instr"), F.when(first, "0").otherwise(reg(F.col("pos") - 1)), none)
+    ops = ops.unionByName(operand(items.where(~call), reg(F.col("pos")), 1, "y", F.lit("const"), F.lit(""), F.col("const_int")))
+    ops = ops.unionByName(operand(items.where(call), reg(F.col("pos")), 1, "callee", F.lit("func"), target, none, "func"))
+    own = lambda name: reg(F.lit(name))
+    # Edges of the phi follow the predecessors of its block, the one before the loop first.
+    for o in (
+        operand(heads, own("i"), 0, "edge", F.when(odd, "param").otherwise("const"), F.when(odd, "0").otherwise(""), F.when(~odd, k % 3)),
+        operand(heads, own("i"), 1, "edge", F.lit("instr"), own("s"), none), operand(heads, own("c"), 0, "x", F.lit("instr"), own("i"), none),
+        operand(heads, own("c"), 1, "y", F.lit("const"), F.lit(""), k % 50), operand(heads, own("if"), 0, "cond", F.lit("instr"), own("c"), none, "bool"),
+        operand(heads, own("s"), 0, "x", F.lit("instr"), own("i"), none), operand(heads, own("s"), 1, "y", F.lit("const"), F.lit(""), loop_step(k)),
+        operand(heads, own("r"), 0, "result", F.lit("instr"), reg(F.col("n")), none),
+    ):
+        ops = ops.unionByName(o)
+    ways = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("src", "dst", "ord"), e)]) for e in ((0, 1, 0), (1, 2, 0), (1, 3, 1), (2, 1, 0))]))
+    edges_ = heads.select("func_id", ways.alias("e")).select("func_id", "e.*")
+    ints = F.array(F.lit("int"), F.lit("int"))
+    name = F.concat(F.lit("x.y/p.F"), "func_id")
+    functions_ = heads.select("func_id", name.alias("function_name"), ints.alias("param_types"), F.array(F.lit("int")).alias("return_types"))
+    return Facts(*[conform(t, n) for t, n in ((functions_, "functions"), (chain, "instrs"), (ops, "operands"), (edges_, "edges"))])
+
+
+# Fixed choice of the fixture: tests of the loops, and their steps in SQL.
+LOOP_TESTS = ("<", "<=", ">", ">=", "!=")
+
+
+def loop_step(k: Column) -> Column:
+    return (1 + k % 3) * F.when(k % 7 == 0, -1).otherwise(1)
+
+
 def imports(spark: SparkSession, d: str) -> DataFrame:
     """(pkg_path, import_path, module): suppliers import nations, nations regions, regions each other; some are standard."""
     s, n, r = read(spark, d, "supplier"), read(spark, d, "nation"), read(spark, d, "region")

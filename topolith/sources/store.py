@@ -7,13 +7,22 @@ indexes of a key-value store are columns here; nothing has to be kept in step.
 
 from __future__ import annotations
 
+import json
 import math
+import os
+import re
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import names
+from ..workspace import children, get_text, put_text, remove
+
+META_FIELDS = ("version", "description", "created_at", "last_updated_at", "source_hash")
 SCHEMA_VERSION = "3"
 MAX_JSON = 64 * 1024 * 1024
 
@@ -124,6 +133,44 @@ def statistics(base: DataFrame) -> DataFrame:
     )
 
 
+def index_entries(base: DataFrame) -> DataFrame:
+    """(index, key, id): the entries of the three secondary indexes, made anew from the rows.
+
+    Empty hashes and null entropies are not indexed; a row without an id has no entry.
+    """
+    entry = lambda name, key, keep: F.when(keep, F.struct(F.lit(name).alias("index"), key.alias("key")))
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    entries = F.array_compact(F.array(
+        entry("hash", F.col("topology_hash"), filled("topology_hash")), entry("bucket", F.col("fuzzy_hash"), filled("fuzzy_hash")),
+        entry("entropy", names.entropy_key(F.col("entropy_score"), F.col("id")), F.col("entropy_score").isNotNull()),
+    ))
+    return base.where(filled("id")).select("id", F.explode(entries).alias("e")).select("e.index", "e.key", "id")
+
+
+def pivot_metadata(entries: DataFrame) -> DataFrame:
+    """One row per ``store`` from ``(store, key, value, position)``: the named fields and a map of the other keys.
+
+    The last value of a key by position counts; a null key is none.
+    """
+    last = entries.where("key is not null").groupBy("store", "key").agg(F.max_by("value", "position").alias("value"))
+    field = lambda k: F.max(F.when(F.col("key") == k, F.col("value"))).alias(k)
+    other = F.when(~F.col("key").isin(*META_FIELDS), F.struct("key", "value"))
+    custom = F.map_from_entries(F.array_sort(F.collect_list(other))).alias("custom")
+    return last.groupBy("store").agg(*[field(k) for k in META_FIELDS], custom)
+
+
+# The file name and the folders a store is looked for in, after an explicit path and the variable.
+STORE_NAME, STORE_VARIABLE, STORE_FOLDERS = "signatures.db", "SIGNATURE_STORE", (".", "~", "/usr/local/share", "/var/lib")
+
+
+def resolve_path(path: str = "", folders: Sequence[str] = STORE_FOLDERS) -> str:
+    """The given path, else the variable's, else the first folder with a store in it, else one in the working folder."""
+    if given := path or os.environ.get(STORE_VARIABLE, ""):
+        return given
+    found = (os.path.join(os.path.expanduser(f), STORE_NAME) for f in folders)
+    return next((f for f in found if os.path.exists(f)), os.path.join(".", STORE_NAME))
+
+
 def export_json(base: DataFrame) -> DataFrame:
     """(id, line): one JSON object per signature, in id order; ``Store.export`` wraps them in a document."""
     return base.orderBy("id").select("id", F.to_json(F.struct(*[F.col(c) for c in base.columns])).alias("line"))
@@ -169,68 +216,87 @@ def _unknown(found: T.StructType, declared: T.StructType, at: str = "") -> set[s
 
 
 class Store:
-    """Signatures and metadata in a folder that all executors share."""
+    """Signatures and metadata in a folder that all executors share.
+
+    ``CURRENT`` holds the number and the folder of the current version.  Every write goes to a folder of its own
+    and counts only once the pointer is replaced, in one step; a writer that finds the pointer moved since
+    it began is refused.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _hpath(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _current(self) -> tuple[int, str]:
+        text = get_text(self.spark, f"{self.path}/CURRENT")
+        number, _, folder = (text or "-1 ").partition(" ")
+        return int(number), folder
 
     def version(self) -> int:
         """Number of the current version, -1 for a store never written."""
-        if not self._fs.exists(self._hpath("CURRENT")):
-            return -1
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        return self._current()[0]
 
     def read(self, version: int | None = None) -> DataFrame:
         """A version's rows; it stays readable while newer ones are written."""
         self._check_schema()
-        v = self.version() if version is None else version
-        if v < 0:
-            raise ValueError("the store is empty")
-        return self.spark.read.parquet(f"{self.path}/v{v:08d}")
+        number, folder = self._current()
+        if version is not None and version != number:
+            folder = next((f for f in children(self.spark, self.path) if f.startswith(f"v{version:08d}-")), "")
+        if not folder:
+            raise ValueError("the store is empty" if number < 0 else f"no version {version}")
+        return self.spark.read.parquet(f"{self.path}/{folder}")
 
     def _check_schema(self) -> None:
         have = self.metadata().get("schema_version", SCHEMA_VERSION)
         if have != SCHEMA_VERSION:
             raise ValueError(f"schema version {have}, this engine reads {SCHEMA_VERSION}")
 
-    def write(self, rows: DataFrame) -> int:
-        """Commit ``rows`` as the next version.  Sorted by entropy, so range scans skip files."""
+    def write(self, rows: DataFrame, begun: int | None = None) -> int:
+        """Commit ``rows`` as the next version.  Sorted by entropy, so range scans skip files.
+
+        ``begun`` is the version the rows were made from (the current one if not given).
+        """
         bad = rows.where(F.coalesce("topology_hash", F.lit("")) == "").limit(1).count()
         if bad:
             raise ValueError("every signature needs a topology hash")
-        new = self.version() + 1
-        rows.sortWithinPartitions("entropy_score").write.parquet(f"{self.path}/v{new:08d}")
-        self._point("CURRENT", str(new))
-        return new
-
-    def _point(self, name: str, text: str) -> None:
-        """Replace a small file by writing beside it and renaming."""
-        out = self._fs.create(self._hpath(name + ".next"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self._fs.delete(self._hpath(name), False)
-        if not self._fs.rename(self._hpath(name + ".next"), self._hpath(name)):
-            raise OSError(f"could not move {name} in {self.path}")
+        base = self.version() if begun is None else begun
+        folder = f"v{base + 1:08d}-{uuid.uuid4().hex[:8]}"
+        rows.sortWithinPartitions("entropy_score").write.parquet(f"{self.path}/{folder}")
+        if self.version() != base:
+            remove(self.spark, f"{self.path}/{folder}")
+            raise RuntimeError(f"version {base} of {self.path} is no longer the current one")
+        put_text(self.spark, f"{self.path}/CURRENT", f"{base + 1} {folder}")
+        return base + 1
+
+    def compact(self, rows_per_file: int = 1_000_000, keep: int = 1) -> int:
+        """Rewrite the current version in few files by ranges of entropy, and delete all but the last ``keep`` versions."""
+        rows = self.read()
+        number = self.write(rows.repartitionByRange(max(1, -(-rows.count() // rows_per_file)), "entropy_score"))
+        for f in children(self.spark, self.path):
+            if re.fullmatch(r"v\d{8}-\w+", f) and int(f[1:9]) <= number - keep:
+                remove(self.spark, f"{self.path}/{f}")
+        return number
+
+    def migrate(self, path: str) -> int:
+        """Take over a JSON document, unknown top-level fields and all; equal ids upsert.  Returns the rows read."""
+        rows = read_json(self.spark, path, strict=False)
+        self.add(rows)
+        return rows.count()
 
     def add(self, batch: DataFrame, position: str = "position") -> int:
         """Upsert a batch; ids are filled in where they are missing."""
-        filled = with_ids(batch, position)
-        if self.version() < 0:
-            return self.write(last_of_batch(filled, position))
-        return self.write(upsert(self.read(), filled, position))
+        filled, begun = with_ids(batch, position), self.version()
+        if begun < 0:
+            return self.write(last_of_batch(filled, position), begun)
+        return self.write(upsert(self.read(), filled, position), begun)
 
     def remove(self, ids: list[str]) -> int:
         """Delete by id; an id that is not there is an error."""
-        base = self.read()
+        begun, base = self.version(), self.read()
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
         missing = gone.join(base, "id", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(missing[0]["id"])
-        return self.write(delete(base, gone))
+        return self.write(delete(base, gone), begun)
 
     def get(self, key: str, position: str = "position") -> DataFrame:
         found = by_id(self.read(), key, position)
@@ -251,19 +317,30 @@ class Store:
     # metadata: a small JSON file, one object
 
     def metadata(self) -> dict[str, str]:
-        import json
-
-        if not self._fs.exists(self._hpath("META")):
-            return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/META").first()[0])
+        return json.loads(get_text(self.spark, f"{self.path}/META") or "{}")
 
     def set_metadata(self, **values: str | None) -> None:
         """Set keys; a value of None deletes its key.  ``created_at`` is kept once set."""
-        import json
-
         old = self.metadata()
         new = old | {k: v for k, v in values.items() if not (k == "created_at" and k in old)}
-        self._point("META", json.dumps({k: v for k, v in new.items() if v is not None}, sort_keys=True))
+        put_text(self.spark, f"{self.path}/META", json.dumps({k: v for k, v in new.items() if v is not None}, sort_keys=True))
+
+    def set_all_metadata(self, fields: dict[str, str | None], custom: dict[str, str]) -> None:
+        """Set the named fields that are not empty and the custom keys; the schema version is always this engine's."""
+        unknown = set(fields) - set(META_FIELDS)
+        if unknown:
+            raise ValueError(f"not a metadata field: {sorted(unknown)}")
+        self.set_metadata(**{k: v for k, v in fields.items() if v}, **(custom | {"schema_version": SCHEMA_VERSION}))
+
+    def all_metadata(self) -> dict[str, object]:
+        """Named fields, the number of signatures, and every other key under ``custom``."""
+        have = self.metadata()
+        found: dict[str, object] = {k: have.get(k) for k in META_FIELDS}
+        found["signature_count"] = self.read().count() if self.version() >= 0 else 0
+        return found | {"custom": {k: v for k, v in have.items() if k not in META_FIELDS}}
 
     def initialise(self, now: str) -> None:
-        self.set_metadata(schema_version=SCHEMA_VERSION, created_at=now, updated_at=now)
+        self.set_metadata(schema_version=SCHEMA_VERSION, created_at=now, last_updated_at=now)
+
+    def touch(self, now: str) -> None:
+        self.set_metadata(last_updated_at=now)
