@@ -505,6 +505,32 @@ def test_hazards_keep_quiet_without_limits(spark):
     assert truncation.significant_lengths(truncation.length_hazards(df.limit(0))).count() == 0
 
 
+def test_words_and_breaks_are_counted(spark):
+    keys, stopped = truncation.keys_of("One two. Three 12 four_5", {})
+    assert Counter(keys) == Counter(["one", "two", "three", "0", " one", "one two", " three", "three 0"])
+    assert sorted(stopped) == ["one two", "two"]
+    assert truncation.keys_of("", {}) == truncation.keys_of("word", {}) == ([], [])
+    df = spark.createDataFrame([("a b c. d",)] * 4 + [(None,)], "text string").where("text is not null")
+    lex = truncation.lexicon(df)
+    assert lex.word["a b"] == 4 and lex.brk["c"] == 4 and "d" not in lex.word
+
+
+def test_scores_are_calibrated_by_unlabelled_texts():
+    rng = np.random.default_rng(3)
+    cut, whole = rng.normal(4, 1.5, 4000), rng.normal(-4, 1.5, 98_000)
+    mixed = np.concatenate([whole, rng.normal(4, 1.5, 2000)])
+    seen = np.bincount(np.clip(np.round(mixed * 4), -80, 80).astype(int) + 80, minlength=161)
+    odds = truncation.calibrated(seen, cut)
+    assert (np.diff(odds) >= -1e-9).all() and odds[80 - 12] < -2 and odds[80 + 16] > 6 and abs(odds[80]) < 2
+
+
+def test_the_share_of_cut_texts_is_estimated(spark):
+    rows = [("a", 5.0)] * 30 + [("a", -5.0)] * 70 + [("b", -5.0)] * 50 + [("c", 5.0)] * 3
+    df = spark.createDataFrame(rows, "source string, ending double")
+    got = {r["source"]: r["cut_share"] for r in truncation.cut_share(df, "source").collect()}
+    assert abs(got["a"] - 0.3) < 0.02 and got["b"] == 0 and got["c"] > 0.99
+
+
 def test_truncation_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert truncation.truncated(df).count() == 0

@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ BLOCKS = tuple(sorted([1 << k for k in range(7, 17)] + [m * 10**k for k in range
 DIMS = 1 << 18
 KEY_SHARE = 2e-6  # words and pairs with at least this share of all counts are kept, half a million at most
 TOKEN = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
+WORDS = re.compile(rf"({TOKEN.pattern})")
 BREAK = re.compile(r"[.!?:;\n]")
 
 
@@ -72,15 +74,20 @@ def significant_lengths(hazards: DataFrame, fdr: float = 0.001) -> DataFrame:
 # ---------------------------------------------------------------- endings
 
 
-def counted(text: str) -> Iterator[tuple[str, bool]]:
-    """Every word and word pair of a text, and whether a break follows; the last word is left out, as what follows it is unknown."""
-    low, before = text.lower(), ""
-    found = list(TOKEN.finditer(low))
-    for k, m in enumerate(found[:-1]):
-        w, stop = _mask(m.group()), bool(BREAK.search(low, m.end(), found[k + 1].start()))
-        yield w, stop
-        yield before + " " + w, stop
-        before = "" if stop else w
+def keys_of(text: str, breaks: dict[str, bool]) -> tuple[list[str], list[str]]:
+    """All words and word pairs of a text, and those of them that a break follows; ``breaks`` remembers what is known of gaps.
+
+    The last word is left out, as what follows it is unknown.
+    """
+    parts = WORDS.split(_mask(text.lower()))  # gap, word, gap, ..., word, gap
+    words, gaps = parts[1:-2:2], parts[2:-2:2]
+    for g in set(gaps):
+        if g not in breaks:
+            breaks[g] = bool(BREAK.search(g))
+    stops = [breaks[g] for g in gaps]
+    before = ["", *("" if stop else w for w, stop in zip(words, stops))]
+    pairs = [f"{p} {w}" for p, w in zip(before, words)]
+    return words + pairs, [*compress(words, stops), *compress(pairs, stops)]
 
 
 @dataclass
@@ -123,14 +130,16 @@ def lexicon(texts: DataFrame, least: int = 3) -> Lexicon:
             b.clear()
             return out
 
+        breaks: dict[str, bool] = {}
         for batch in batches:
             for text in batch["text"]:
-                for key, stop in counted(text):
-                    n[key] += 1
-                    if stop:
-                        b[key] += 1
+                keys, stopped = keys_of(text, breaks)
+                n.update(keys)
+                b.update(stopped)
                 if len(n) > 300_000:
                     yield rows()
+                if len(breaks) > 100_000:
+                    breaks.clear()
         yield rows()
 
     counts = texts.select("text").mapInPandas(count, "key string, n long, b long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
