@@ -175,8 +175,8 @@ def plain_words(items: DataFrame) -> DataFrame:
     return items.mapInPandas(join, "item_id long, words string")
 
 
-def _positives(sizes: Sizes, bitmap: np.ndarray, singles: bool, docs: list[tuple[int, list[str]]], hasher: _Hasher) -> list[tuple[int, list[str], np.ndarray]]:
-    """(doc_id, words, keys) of the passages of a group of documents that have a key in the bitmap."""
+def _positives(sizes: Sizes, bitmap: np.ndarray, singles: bool, docs: list[tuple[int, list[str]]], hasher: _Hasher) -> list[tuple[int, int, list[str], np.ndarray]]:
+    """(doc_id, at, words, keys) of the passages of a group of documents that have a key in the bitmap."""
     step = sizes.width + SHINGLE - sizes.run
     domains: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     for d, (_, words) in enumerate(docs):
@@ -195,7 +195,7 @@ def _positives(sizes: Sizes, bitmap: np.ndarray, singles: bool, docs: list[tuple
         for row in np.flatnonzero(hit.any(axis=1)):
             d, at, _ = group[row]
             doc_id, words = docs[d]
-            out.append((doc_id, words[at : at + step + sizes.run - 1], np.unique(keys[row][hit[row]]).view(np.int64)))
+            out.append((doc_id, at, words[at : at + step + sizes.run - 1], np.unique(keys[row][hit[row]]).view(np.int64)))
     return out
 
 
@@ -216,7 +216,7 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = 12, miss: float = 1e-5)
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
         for batch in batches:
-            found: list[tuple[int, list[str], np.ndarray]] = []
+            found: list[tuple[int, int, list[str], np.ndarray]] = []
             group: list[tuple[int, list[str]]] = []
             held = 0
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -229,11 +229,13 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = 12, miss: float = 1e-5)
                     found += _positives(sizes, shared.value, singles, group, hasher)
                     group, held = [], 0
             found += _positives(sizes, shared.value, singles, group, hasher) if group else []
-            yield pd.DataFrame(found, columns=["doc_id", "passage", "keys"]).astype({"doc_id": "int64"})
+            yield pd.DataFrame(found, columns=["doc_id", "at", "passage", "keys"]).astype({"doc_id": "int64", "at": "int32"})
 
     texts = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    passages = texts.mapInPandas(scan, "doc_id long, passage array<string>, keys array<long>")
-    met = passages.select("doc_id", "passage", F.explode("keys").alias("key")).join(index, "key").select("doc_id", "item_id", "passage").distinct()
+    passages = materialize(texts.mapInPandas(scan, "doc_id long, at int, passage array<string>, keys array<long>"), "passages")
+    # Only numbers meet the index; the words of a passage join once per item and not once per key.
+    met = passages.select("doc_id", "at", F.explode("keys").alias("key")).join(index, "key").select("doc_id", "at", "item_id").distinct()
+    met = met.join(passages.select("doc_id", "at", "passage"), ["doc_id", "at"])
     starts = F.sequence(F.lit(1), F.size("passage") - (run - 1))
     piece = lambda k: F.concat(F.lit(" "), F.array_join(F.slice("passage", k, run), " "), F.lit(" "))
     holds = F.exists(starts, lambda k: F.col("words").contains(piece(k)))
