@@ -272,7 +272,7 @@ class Store:
         rows = self.read()
         number = self.write(rows.repartitionByRange(max(1, -(-rows.count() // rows_per_file)), "entropy_score"))
         for f in children(self.spark, self.path):
-            if re.fullmatch(r"v\d{8}-\w+", f) and int(f[1:9]) <= number - keep:
+            if re.match(r"v\d{8}-\w+$", f) and int(f[1:9]) <= number - keep:
                 remove(self.spark, f"{self.path}/{f}")
         return number
 
