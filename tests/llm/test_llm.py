@@ -317,6 +317,27 @@ def test_rows_read_for_a_batch_do_not_grow_with_the_history(spark, tmp_path):
     assert read[1] < 1.3 * read[0]
 
 
+def shuffled_records(spark):
+    """Records that all stages so far have written to shuffles."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    no_numbers = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, no_numbers, None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+
+@pytest.mark.parametrize("sent", [history.SENT, 0])
+def test_a_batch_takes_few_stages(spark, tmp_path, monkeypatch, sent):
+    """The driver's memory grows with the stages it keeps."""
+    monkeypatch.setattr(history, "SENT", sent)
+    sigs, feed = feed_rows(7, 60, 48, 12)
+    before = shuffled_records(spark)
+    got = {(r[0], r[1]) for r in history.repeats(spark.createDataFrame(sigs, ROW).drop("batch_no"), spark.createDataFrame(feed, ROW)).collect()}
+    assert got == expected_repeats(sigs, feed)
+    if sent:
+        assert len(set(shuffled_records(spark)) - set(before)) < 165
+
+
 def test_segments_merge_and_partitions_grow(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "MERGE", 2)
     index = history.HistoryIndex(spark, str(tmp_path / "i"), 1, per_filter=20)
