@@ -326,6 +326,35 @@ def shuffled_records(spark):
     return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
 
 
+def test_the_history_is_not_moved_for_a_batch_too_large_to_send(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "SENT", 0)
+
+    def content(k):
+        rng = random.Random(k)
+        return row(k, 1, f"i{k}", hexes(k), f"F{k}", [f"v{rng.randint(0, 10**6)}" for _ in range(6)])
+
+    index = history.HistoryIndex(spark, str(tmp_path / "i"), 6000)
+    index.load(spark.createDataFrame([content(k) for k in range(6000)], ROW))
+    batch = spark.createDataFrame([(10**7 + k, *content(50 * k)[1:]) for k in range(100)] + [content(10**8 + k) for k in range(20)], ROW)
+    sizes = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in sizes:  # at this size Spark would send one side by itself
+            spark.conf.set(name, "-1")
+        held, before = index.store().count(), shuffled_records(spark)
+        assert {tuple(r) for r in index.ingest(batch).collect()} == {(50 * k, 10**7 + k) for k in range(100)}
+        moved = sum(n for k, n in shuffled_records(spark).items() if k not in before)
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert moved < 0.5 * held, (moved, held)
+
+
+def test_rows_among_keys_are_found_where_they_lie(spark):
+    keys, rows = spark.range(1000).select(F.xxhash64("id").alias("fp")), spark.range(100_000).select("id", F.xxhash64("id").alias("fp"))
+    got = [r[0] for r in history.among(rows, keys, 1000).select("id").collect()]
+    assert {k for k in got if k < 1000} == set(range(1000)) and len(got) == len(set(got)) < 4000
+
+
 @pytest.mark.parametrize("sent", [history.SENT, 0])
 def test_a_batch_takes_few_stages(spark, tmp_path, monkeypatch, sent):
     """The driver's memory grows with the stages it keeps."""
