@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,26 @@ def test_every_pair_of_a_bucket_is_scored(spark, tmp_path):
     assert len(whole) == 6 and {p[:2]: p[2] for p in whole}[(1, 3)] > 0.95
 
 
+def test_full_scans_agree_with_the_score_of_every_pair(spark):
+    """Pairs are compared by numbers; the outcome is that of scoring all of them, odd values included."""
+    rng = random.Random(3)
+    nan = float("nan")
+    pick = lambda *x: rng.choice(x)
+    some = lambda words: [rng.choice(words) for _ in range(rng.randint(0, 3))]
+    calls, words = ("net.Dial", "os.Open", "invoke:os.OpenFile", "x"), ("Token=abc", "tmp", "ABC", "")
+    p = [(k, pick("h1", "h2", None), "b", pick(0.0, 4.0, 4.25, nan, None), rng.randint(0, 4), rng.randint(0, 3), sorted(set(some(calls))), some(words), pick(None, 0.3, 0.9, 1.7), pick(None, "LOW", "HIGH"), pick(None, 0.2, 0.8)) for k in range(60)]
+    s = [(f"s{k}", "n", "HIGH", pick("h1", "h2", None), "b", pick(0.0, 4.0, 4.5, nan, None), pick(0.0, 0.5, 1.0, None), pick(0, 2, 4, None), pick(0, 1, None), pick(None, some(("net", "os.Open", "Dial", ""))), pick(None, some(("token", "ABC", "tmp", "zz")))) for k in range(80)]
+    p = spark.createDataFrame(p, "func_id long, hash string, bucket string, entropy double, blocks int, loops int, calls array<string>, literals array<string>, obf_score double, obf_class string, indirect double")
+    s = spark.createDataFrame(s, "id string, name string, severity string, topology_hash string, fuzzy_hash string, entropy_score double, entropy_tolerance double, node_count int, loop_depth int, required_calls array<string>, string_patterns array<string>")
+    for least, tolerance in ((0.75, 0.5), (0.99, 0.0)):
+        scored = scan.score(scan.all_pairs(p, s), tolerance).where(scan.sure(F.col("confidence"), least))
+        want = {(r["func_id"], r["s_id"]): r["confidence"] for r in scored.select("func_id", "s_id", "confidence").collect()}
+        got = scan.confidences(p, s, least, tolerance, ("func_id",), ("id",)).collect()
+        assert {(r["k_func_id"], r["a_id"]): r["confidence"] for r in got} == want and len(got) == len(want) > 0
+        assert sorted((r["func_id"], r["s_id"]) for r in scan.pairs_reaching(p, s, least, tolerance).collect()) == sorted(want)
+    assert scan.scan_full(p.limit(0), s).count() == scan.scan_full(p, s.limit(0)).count() == 0
+
+
 def test_feature_row_from_facts_feeds_hash_and_scan(spark):
     from topolith.functions import scoring
 
